@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantgrove.llm import packing, quality, toxicity
+from quantgrove.llm import jaccard, packing, quality, toxicity
 from quantgrove.llm.common import materialise
 
 
@@ -20,12 +20,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, model)
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard.keep_one(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What remains, packed into token sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("quality", keep_good), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality", keep_good), ("near_copies", keep_one), ("packing", pack)]
 
 #: No stage can be said in SQL: two are trained classifiers, one follows similarity links, one packs.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantgrove.llm import chat, fingerprints, media, packing, quality, sentencepieces, token_store, toxicity, urls
+from quantgrove.llm import chat, fingerprints, jaccard, media, packing, quality, sentencepieces, token_store, toxicity, urls
 from quantgrove.llm.common import held_out
 
 
@@ -42,6 +42,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.fit(urls.labelled_by_rules(pages)))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(_read(spark, sf_dir, "documents"))
+
+
 def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_media, op3_token_files, op4_packing, op5_toxicity, op6_url_filter, op8_sentencepieces, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_media, op3_token_files, op4_packing, op5_toxicity, op6_url_filter, op7_jaccard_join, op8_sentencepieces, op9_quality, op10_chat)}
 
 
 OP10_SQL = r"""
