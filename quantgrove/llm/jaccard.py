@@ -3,7 +3,8 @@
 A document's set holds its distinct five-word shingles. Shingles have one
 global order, rarest first by a counting sketch of fixed size. Two sets with
 a Jaccard likeness of t or more share at least l shingles among the first
-n - ceil(t n) + l of each, for every l. So a document may lengthen its prefix
+n - ceil(t n) + l of each, for every l (and the smaller of the two needs still
+fewer of its own). So a document may lengthen its prefix
 and ask for more shared shingles in return: l is chosen for each document from
 the estimated number of candidates that its prefix would draw, and a pair must
 share as many as the smaller l of the two before it is verified.
@@ -13,8 +14,9 @@ What would grow with the square of a group is never made:
 * equal sets are one class, and only classes are compared;
 * shingles of a prefix that only one class has are dropped at once;
 * of the classes that share a shingle, each is first compared with one hub
-  (the smallest of them), and only with the hub that it shares most with; what
-  is linked becomes one component, and this repeats while it pays off;
+  (one that shares most of its own prefix), and only with the few hubs that it
+  shares most with; what is linked becomes one component, and this repeats
+  while it pays off;
 * then every pair that is left, of classes in different components, goes
   through the multi-match filter and verification. Pairs inside a component
   are not needed for the result, so no link between components is lost.
@@ -35,15 +37,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantgrove.llm.common import batch_of, documents_of, materialise
 
 #: Words of a shingle; the likeness asked for, in hundredths; largest l; bits of the sketch; rows of a salt.
 WIDTH, PERCENT, MOST_MATCHES, BITS, SALTED = 5, 75, 4, 18, 20_000
-#: Hub rounds at most, and how many pair rows for each row of a prefix the last step may make before another round is tried.
-ROUNDS, PAYS = 5, 2
+#: Hub rounds at most; how many pair rows for each row of a prefix the last step may make before another round is tried; hubs that a class is compared with in a round.
+ROUNDS, PAYS, HUBS = 4, 8, 3
 _BLOCK = 1 << 12
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,13 +93,21 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def least_overlap_up(n: int, percent: int = PERCENT) -> int:
+    """The same with sets that are no smaller than it."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[np.ndarray, np.ndarray, int]:
-    """(shingles of the prefix, their counts, l) of a sorted set under the order by count, then hash."""
+def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(shingles of the prefix, their counts, whether in the lead, l) of a sorted set under the order by count, then hash.
+
+    The lead is the shorter prefix that does where the other set is no smaller.
+    """
     n = len(s)
     c = counts[(s >> np.uint64(64 - BITS)).astype(np.int64)]
     order = np.argsort(c, kind="stable")  # ties stay in order of hash
@@ -106,7 +116,8 @@ def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCE
     cost = float(np.maximum(c[first] - 2 * usual, 0).sum()) / len(first)
     l = max(1, min(most, need, 1 + int(np.log2(1 + cost / 8))))
     chosen = order[: n - need + l]
-    return s[chosen], c[chosen], l
+    lead = np.arange(len(chosen)) < n - least_overlap_up(n, percent) + l
+    return s[chosen], c[chosen], lead, l
 
 
 # --- passes over the texts ------------------------------------------------
@@ -154,16 +165,16 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, cid, n, l): prefix shingles that more than one class has (or may have)."""
+    """(token, cid, n, l, lead): prefix shingles that more than one class has (or may have)."""
     sent, usual = docs.sparkSession.sparkContext.broadcast(counts), float(np.median(counts))
-    out = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("l", pa.int32())])
+    out = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("l", pa.int32()), ("lead", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = sent.value, set()
         for b in batches:
             texts = b.column(0).to_pylist()
             for i in range(0, len(texts), 256):
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[] for _ in out]
                 for t in texts[i : i + 256]:
                     s = shingles(t)
                     if not len(s) or (cid := class_of(s)) in seen:
@@ -171,9 +182,9 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(cid)
-                    tokens, c, l = prefix(s, known, usual)
+                    tokens, c, lead, l = prefix(s, known, usual)
                     salts = np.maximum(c - 2 * usual, 0).astype(np.int64) // SALTED
-                    for col, v in zip(cols, (tokens.view(np.int64), np.where(salts > 0, (cid >> 7) % (salts + 1), -1), np.full(len(c), cid), np.full(len(c), len(s)), np.full(len(c), l)), strict=True):
+                    for col, v in zip(cols, (tokens.view(np.int64), np.where(salts > 0, (cid >> 7) % (salts + 1), -1), np.full(len(c), cid), np.full(len(c), len(s)), np.full(len(c), l), lead.astype(np.int32)), strict=True):
                         col.append(v)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(cols, out)], schema=out)
@@ -181,7 +192,7 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sent_held = None, False  # the last row so far, and whether it went out
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             t, s, c = cols[:3]
@@ -195,10 +206,10 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             if was:
                 go[0] = False
             if go.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (cols[0], cols[2], cols[3], cols[4])], names=["token", "cid", "n", "l"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (cols[0], *cols[2:])], names=["token", "cid", "n", "l", "lead"])
 
-    rows = docs.select("text").mapInArrow(emit, "token long, salt int, cid long, n int, l int")
-    return materialise(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "cid").mapInArrow(shared, "token long, cid long, n int, l int"), "postings")
+    rows = docs.select("text").mapInArrow(emit, "token long, salt int, cid long, n int, l int, lead int")
+    return materialise(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "cid").mapInArrow(shared, "token long, cid long, n int, l int, lead int"), "postings")
 
 
 #: Bits of the filter by which the pass over the texts passes over classes without postings.
@@ -321,45 +332,48 @@ def _close(n: str, m: str, percent: int = PERCENT):
 def _links(postings: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(cid, comp) of all linked classes, or None where no shingle is shared."""
     edges = tested = comp = None
+    # Of near copies, those that were changed least share most of their prefix: they make the best hubs.
+    share = postings.groupBy("cid").agg((F.count("*") / F.first("n")).alias("share"))
+    postings = materialise(postings.join(share, "cid"), "ranked")
     for turn in range(ROUNDS + 1):
         if comp is None:
             own = postings.withColumn("comp", F.col("cid"))
         else:
             own = postings.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        # A little chance in the order gives other hubs each time.
+        chance = 1 - F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1000)) / 4000.0
+        own = own.withColumn("order", -F.col("share") * chance)
         # Shingles whose classes are in several components; the rest can give no new link.
-        each = own.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min(F.struct("cid", "n")).alias("first"))
-        mixed = each.groupBy("token").agg(F.min(F.struct("comp", "first")).alias("hub"), F.max("comp").alias("top"), F.sum("k").alias("k"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk")).where(F.col("hub.comp") < F.col("top"))
+        each = own.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min(F.struct("order", "cid", "n", "comp")).alias("first"))
+        mixed = each.groupBy("token").agg(F.min("first").alias("hub"), F.min("comp").alias("bottom"), F.max("comp").alias("top"), F.sum("k").alias("k"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk")).where(F.col("bottom") < F.col("top"))
         mixed = materialise(mixed, "mixed")
         rows, pairs = mixed.agg(F.sum("k"), F.sum((F.col("k").cast("double") * F.col("k") - F.col("kk")) / 2)).first()
         if not rows:
             return comp
-        last = turn == ROUNDS or (turn > 0 and pairs <= PAYS * rows) or pairs <= rows
+        last = turn == ROUNDS or (turn > 0 and pairs <= PAYS * rows)
         if last:
             own = own.join(mixed.select("token"), "token", "left_semi")
-            own = materialise(own.select("token", "cid", "n", "l", "comp"), "mixed-rows")
-            kinds = own.select("token", "comp").distinct()
-            kinds = kinds.join(kinds.select("token", F.col("comp").alias("comp2")), "token").where("comp < comp2")
-            one = own.select("token", "comp", F.col("cid").alias("x"), "n", "l")
-            two = own.select("token", F.col("comp").alias("comp2"), F.col("cid").alias("y"), F.col("n").alias("n2"), F.col("l").alias("l2"))
-            found = kinds.join(one, ["token", "comp"]).join(two, ["token", "comp2"]).where(_close("n", "n2"))
+            own = materialise(own.select("token", "cid", "n", "l", "lead", "comp"), "mixed-rows")
+            # The smaller set of a pair needs its lead only.
+            one = own.where("lead = 1").select("token", "comp", F.col("cid").alias("x"), "n", "l")
+            two = own.select("token", F.col("comp").alias("comp2"), F.col("cid").alias("y"), F.col("n").alias("n2"), F.col("l").alias("l2"), "lead")
+            kinds = one.select("token", "comp").distinct().join(two.select("token", "comp2").distinct(), "token").where("comp <> comp2")
+            up = "n < n2 or (n = n2 and x < y and lead = 1)"
+            found = kinds.join(one, ["token", "comp"]).join(two, ["token", "comp2"]).where(_close("n", "n2") & F.expr(up))
             found = found.groupBy("x", "y").agg(F.count("*").alias("k"), F.first(F.least("l", "l2")).alias("l")).where("k >= l").select("x", "y")
+            found = found.join(tested.union(tested.select(F.col("y").alias("x"), F.col("x").alias("y"))), ["x", "y"], "left_anti") if tested is not None else found
         else:
-            hubs = mixed.select("token", F.col("hub.comp").alias("hub_comp"), F.col("hub.first.cid").alias("y"), F.col("hub.first.n").alias("n2"))
+            hubs = mixed.select("token", F.col("hub.comp").alias("hub_comp"), F.col("hub.cid").alias("y"), F.col("hub.n").alias("n2"))
             near = own.join(hubs, "token").where((F.col("comp") != F.col("hub_comp")) & _close("n", "n2")).groupBy(F.col("cid").alias("x"), "y").agg(F.count("*").alias("k"))
-            if tested is not None:
-                near = near.join(tested, ["x", "y"], "left_anti")
-            found = near.groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
-        if tested is not None and last:
-            found = found.join(tested.union(tested.select(F.col("y").alias("x"), F.col("x").alias("y"))), ["x", "y"], "left_anti")
+            near = near.join(tested, ["x", "y"], "left_anti") if tested is not None else near
+            best = Window.partitionBy("x").orderBy(F.desc("k"), "y")
+            found = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= HUBS).select("x", "y")
         found = materialise(found, "candidates")
         new = materialise(_verify(found, texts), "links")
         tested = found if tested is None else tested.union(found)
         edges = new if edges is None else edges.union(new)
-        if new.isEmpty():
-            if last:
-                return comp
-            continue
-        comp = materialise(components(edges), "components")
+        if not new.isEmpty():
+            comp = materialise(components(edges), "components")
         if last:
             return comp
     return comp
@@ -406,8 +420,6 @@ def keep_one(documents: DataFrame) -> DataFrame:
             extra = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(low, pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "__cid", "__low"])
 
-    from pyspark.sql import Window
-
     rows = documents.mapInArrow(run, f"{out}, __cid long, __low long")
     kept = rows.where("__cid is not null").join(keepers, ["__cid", "__low"], "left_semi")
     kept = kept.withColumn("__nth", F.row_number().over(Window.partitionBy("__cid", "__low").orderBy("__low"))).where("__nth = 1").drop("__nth")
