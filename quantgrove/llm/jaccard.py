@@ -19,7 +19,13 @@ What would grow with the square of a group is never made:
   while it pays off;
 * then every pair that is left, of classes in different components, goes
   through the multi-match filter and verification. Pairs inside a component
-  are not needed for the result, so no link between components is lost.
+  are not needed for the result, so no link between components is lost. For a
+  shingle that many classes have, blocks of signatures are compared instead of
+  joining rows.
+
+A signature has a bit for each hash value that the set's shingles flip; two
+signatures differ in no more bits than the sets in shingles, so pairs that
+differ in too many are dismissed without their texts.
 
 Hot shingles are split by salts in proportion to the sketch's count. Texts
 that take part in a comparison are kept once per class, compressed.
@@ -44,42 +50,68 @@ from quantgrove.llm.common import batch_of, documents_of, materialise
 
 #: Words of a shingle; the likeness asked for, in hundredths; largest l; bits of the sketch; rows of a salt.
 WIDTH, PERCENT, MOST_MATCHES, BITS, SALTED = 5, 75, 4, 18, 20_000
-#: Hub rounds at most; how many pair rows for each row of a prefix the last step may make before another round is tried; hubs that a class is compared with in a round.
-ROUNDS, PAYS, HUBS = 4, 8, 3
+#: Hub rounds at most; how many pair rows for each row of a prefix the last step may make before another round is tried; hubs that a class is compared with in a round; share of links among them below which no further round is made.
+ROUNDS, PAYS, HUBS, GAIN = 4, 8, 3, 0.1
 _BLOCK = 1 << 12
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """64-bit hash of every word met so far, up to a bounded number."""
+_POWERS = np.ones(1, np.uint64)
+_INVERSES = np.ones(1, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 700_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """P^i and P^-i modulo 2^64 for i below n."""
+    global _POWERS, _INVERSES
+    if len(_POWERS) < n:
+        size = 1 << (n - 1).bit_length()
+        back = np.uint64(pow(int(_P), -1, 1 << 64))
+        _POWERS = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size - 1, _P))])
+        _INVERSES = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size - 1, back))])
+    return _POWERS[:n], _INVERSES[:n]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-_words = _Words()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hash of every word: polynomials of its bytes, all words at once from running sums."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)  # of bytes: A-Z only
+    n = len(raw)
+    if not n:
+        return np.empty(0, np.uint64)
+    space = np.ones(n + 2, bool)
+    space[1:-1] = _SPACE[raw]
+    turn = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = turn[::2], turn[1::2]
+    powers, inverses = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw + np.uint64(1)) * inverses[:n], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * powers[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; only A-Z are lower-cased, words end at ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes, both are ASCII only
-    n = len(words)
+    h = word_hashes(text)
+    n = len(h)
     if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+        return h
     w = min(width, n)
     acc = np.full(n - w + 1, w, np.uint64)
     for i in range(w):
-        acc = acc * _P + h[i : n - w + 1 + i]
-    acc ^= acc >> np.uint64(32)
-    acc *= np.uint64(0xD6E8FEB86659FD93)
-    acc ^= acc >> np.uint64(29)
-    return np.unique(acc)
+        acc *= _P
+        acc += h[i : n - w + 1 + i]
+    acc = _mix(acc)
+    acc.sort()
+    return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
 
 
 def class_of(s: np.ndarray) -> int:
@@ -103,6 +135,25 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Bits that each shingle of the set flips: a power of two of them, twice the set at least."""
+    size = max(64, min(1 << 15, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (rows of 64-bit words) as they would be with fewer bits."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def most_apart(n, m, percent: int = PERCENT):
+    """Shingles that only one of two sets of these sizes has, at most, if they link."""
+    return (n + m) * (100 - percent) // (100 + percent)
+
+
 def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(shingles of the prefix, their counts, whether in the lead, l) of a sorted set under the order by count, then hash.
 
@@ -217,9 +268,9 @@ FILTER_BITS = 24
 
 
 def _texts(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """(cid, text compressed), once for every class that has postings (and a few that the filter lets through)."""
+    """(cid, n, signature, text compressed), once for every class that has postings (and a few that the filter lets through)."""
     size = 1 << FILTER_BITS
-    out = pa.schema([("cid", pa.int64()), ("z", pa.binary())])
+    out = pa.schema([("cid", pa.int64()), ("size", pa.int32()), ("sig", pa.binary()), ("z", pa.binary())])
 
     def places(cids: np.ndarray) -> list[np.ndarray]:
         u = cids.view(np.uint64)
@@ -254,15 +305,15 @@ def _texts(docs: DataFrame, postings: DataFrame) -> DataFrame:
                 sets = [shingles(t) for t in texts[i : i + 256]]
                 cids = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
                 hit = np.logical_and.reduce([known[at] for at in places(cids)]) & np.array([len(s) > 0 for s in sets], bool)
-                got: dict[int, bytes] = {}
+                got: dict[int, tuple] = {}
                 for k in np.flatnonzero(hit).tolist():
                     if (cid := int(cids[k])) not in seen:
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(cid)
-                        got[cid] = z.compress(texts[i + k].encode("utf-8", "surrogatepass"))
+                        got[cid] = len(sets[k]), signature(sets[k]), z.compress(texts[i + k].encode("utf-8", "surrogatepass"))
                 if got:
-                    yield batch_of(out, {"cid": list(got), "z": list(got.values())})
+                    yield batch_of(out, {"cid": list(got)} | {f.name: [v[j] for v in got.values()] for j, f in enumerate(list(out)[1:])})
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -272,13 +323,32 @@ def _texts(docs: DataFrame, postings: DataFrame) -> DataFrame:
             last = cids[-1]
             yield b.filter(pa.array(new))
 
-    rows = docs.select("text").mapInArrow(squeeze, "cid long, z binary")
-    return materialise(rows.repartition("cid").sortWithinPartitions("cid").mapInArrow(once, "cid long, z binary"), "texts")
+    rows = docs.select("text").mapInArrow(squeeze, "cid long, size int, sig binary, z binary")
+    return materialise(rows.repartition("cid").sortWithinPartitions("cid").mapInArrow(once, "cid long, size int, sig binary, z binary"), "texts")
 
 
 # --- pairs and components -------------------------------------------------
 
 
+def _plausible(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (x, y) whose signatures differ in no more bits than linked sets' may."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, p, q = (b.column(i).to_pylist() for i in range(2, 6))
+            yes = []
+            for i, j, u, v in zip(n, m, p, q):
+                u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+                words = min(len(u), len(v))
+                yes.append(int(np.bitwise_count(_folded(u, words) ^ _folded(v, words)).sum()) <= most_apart(i, j, percent))
+            yes = pa.array(yes, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(yes), b.column(1).filter(yes)], names=["x", "y"])
+
+    sig = texts.select("cid", "size", "sig")
+    both = pairs.select("x", "y").join(sig.toDF("y", "m", "q"), "y").join(sig.toDF("x", "n", "p"), "x")
+    return both.select("x", "y", "n", "m", "p", "q").mapInArrow(run, "x long, y long")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (x, y) whose sets are alike. Many x may share a y: its text is joined first, to thin rows."""
 
@@ -296,14 +366,62 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
 
         for b in batches:
             x, y, zx, zy = (b.column(i).to_pylist() for i in range(4))
-            yes = [alike(of(p, a), of(q, c), percent) for p, q, a, c in zip(x, y, zx, zy)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(yes, pa.bool_())), b.column(1).filter(pa.array(yes, pa.bool_()))], names=["x", "y"])
+            yes = pa.array([alike(of(p, a), of(q, c), percent) for p, q, a, c in zip(x, y, zx, zy)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(yes), b.column(1).filter(yes)], names=["x", "y"])
 
-    with_y = pairs.select("x", "y").join(texts.select(F.col("cid").alias("y"), F.col("z").alias("zy")), "y")
-    both = with_y.join(texts.select(F.col("cid").alias("x"), F.col("z").alias("zx")), "x")
+    texts = texts.select("cid", "z")
+    with_y = pairs.select("x", "y").join(texts.toDF("y", "zy"), "y")
+    both = with_y.join(texts.toDF("x", "zx"), "x")
     return both.select("x", "y", "zx", "zy").mapInArrow(run, "x long, y long")
 
 
+#: Classes of a shingle up to which pairs are joined row by row, and classes of a block beyond.
+JOINED, BLOCK_ROWS = 64, 1000
+
+
+def _in_blocks(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(x, y, l): pairs in different components for shingles with many classes, by comparing blocks of signatures.
+
+    Rows have token, k, cid, n, l, lead, comp and sig. A shingle's classes are
+    dealt to blocks of bounded size, and every two blocks meet in one group:
+    no pair becomes a row unless its signatures are near enough.
+    """
+    blocks = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "cid", "n", "l", "lead", "comp", "sig")
+
+    def run(key, t):
+        cid, n, l, lead, comp, own = (t[c].to_numpy() for c in ("cid", "n", "l", "lead", "comp", "own"))
+        sigs = [np.frombuffer(x, np.uint64) for x in t["sig"].to_pylist()]
+        widths = np.array([len(x) for x in sigs])
+        found: list[list] = [[], [], []]
+        for wide in np.unique(widths):
+            for narrow in np.unique(widths[widths <= wide]):
+                big, small = np.flatnonzero(widths == wide), np.flatnonzero(widths == narrow)
+                p, q = _folded(np.stack([sigs[i] for i in big]), narrow), np.stack([sigs[i] for i in small])
+                step = max(1, (1 << 20) // (len(small) * int(narrow)))
+                for s in range(0, len(big), step):
+                    i, j = big[s : s + step, None], small[None, :]
+                    ok = np.bitwise_count(p[s : s + step, None, :] ^ q[None]).sum(2, dtype=np.int64) <= most_apart(n[i].astype(np.int64), n[j], percent)
+                    ok &= (comp[i] != comp[j]) & ((n[i] < n[j]) & (lead[i] > 0) | (n[j] < n[i]) & (lead[j] > 0) | (n[i] == n[j]) & (lead[i] > 0) & (lead[j] > 0))
+                    ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                    if key[1].as_py() != key[2].as_py():
+                        ok &= own[i] != own[j]
+                    if wide == narrow:
+                        ok &= cid[i] < cid[j]
+                    a, b = np.nonzero(ok)
+                    a, b = big[s + a], small[b]
+                    first = (n[a] < n[b]) | (n[a] == n[b]) & (cid[a] < cid[b])
+                    found[0].append(np.where(first, cid[a], cid[b]))
+                    found[1].append(np.where(first, cid[b], cid[a]))
+                    found[2].append(np.minimum(l[a], l[b]))
+        x, y, z = (np.concatenate(f) for f in found)
+        return pa.table({"x": x.astype(np.int64), "y": y.astype(np.int64), "l": z.astype(np.int32)})
+
+    return dealt.groupBy("token", "a", "b").applyInArrow(run, "x long, y long, l int")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(cid, comp) of every class with a link: comp is the smallest class of its component.
 
@@ -311,12 +429,12 @@ def components(edges: DataFrame) -> DataFrame:
     join, so no neighbourhood is ever gathered in one row.
     """
     e = edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct()
-    e, before = materialise(e, "stars"), None
+    e = materialise(e, "stars")
     while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
+        # Done when all are stars: nothing hangs on two, and nothing that something hangs on hangs itself.
+        once = e.select(F.col("a").alias("v"), F.lit(1).alias("k")).union(e.select(F.col("b").alias("v"), F.lit(0).alias("k")))
+        if once.groupBy("v").agg(F.sum("k").alias("hangs"), F.min("k").alias("low")).where("hangs > 1 or (hangs = 1 and low = 0)").isEmpty():
             return e.select(F.col("a").alias("cid"), F.col("b").alias("comp"))
-        before = now
         ways = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = ways.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -350,17 +468,18 @@ def _links(postings: DataFrame, texts: DataFrame) -> DataFrame | None:
         rows, pairs = mixed.agg(F.sum("k"), F.sum((F.col("k").cast("double") * F.col("k") - F.col("kk")) / 2)).first()
         if not rows:
             return comp
-        last = turn == ROUNDS or (turn > 0 and pairs <= PAYS * rows)
+        last = turn == ROUNDS or (turn > 0 and (pairs <= PAYS * rows or gained < GAIN))
         if last:
-            own = own.join(mixed.select("token"), "token", "left_semi")
-            own = materialise(own.select("token", "cid", "n", "l", "lead", "comp"), "mixed-rows")
+            own = own.join(mixed.select("token", "k"), "token")
+            own = materialise(own.select("token", "k", "cid", "n", "l", "lead", "comp"), "mixed-rows")
+            few = own.where(F.col("k") <= JOINED)
             # The smaller set of a pair needs its lead only.
-            one = own.where("lead = 1").select("token", "comp", F.col("cid").alias("x"), "n", "l")
-            two = own.select("token", F.col("comp").alias("comp2"), F.col("cid").alias("y"), F.col("n").alias("n2"), F.col("l").alias("l2"), "lead")
-            kinds = one.select("token", "comp").distinct().join(two.select("token", "comp2").distinct(), "token").where("comp <> comp2")
-            up = "n < n2 or (n = n2 and x < y and lead = 1)"
-            found = kinds.join(one, ["token", "comp"]).join(two, ["token", "comp2"]).where(_close("n", "n2") & F.expr(up))
-            found = found.groupBy("x", "y").agg(F.count("*").alias("k"), F.first(F.least("l", "l2")).alias("l")).where("k >= l").select("x", "y")
+            one = few.where("lead = 1").select("token", "comp", F.col("cid").alias("x"), "n", "l")
+            two = few.select("token", F.col("comp").alias("comp2"), F.col("cid").alias("y"), F.col("n").alias("n2"), F.col("l").alias("l2"), "lead")
+            up = "comp <> comp2 and (n < n2 or (n = n2 and x < y and lead = 1))"
+            joined = one.join(two, "token").where(_close("n", "n2") & F.expr(up)).select("x", "y", F.least("l", "l2").alias("l"))
+            many = own.where(F.col("k") > JOINED).join(texts.select("cid", "sig"), "cid")
+            found = joined.union(_in_blocks(many)).groupBy("x", "y").agg(F.count("*").alias("k"), F.first("l").alias("l")).where("k >= l").select("x", "y")
             found = found.join(tested.union(tested.select(F.col("y").alias("x"), F.col("x").alias("y"))), ["x", "y"], "left_anti") if tested is not None else found
         else:
             hubs = mixed.select("token", F.col("hub.comp").alias("hub_comp"), F.col("hub.cid").alias("y"), F.col("hub.n").alias("n2"))
@@ -369,10 +488,11 @@ def _links(postings: DataFrame, texts: DataFrame) -> DataFrame | None:
             best = Window.partitionBy("x").orderBy(F.desc("k"), "y")
             found = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= HUBS).select("x", "y")
         found = materialise(found, "candidates")
-        new = materialise(_verify(found, texts), "links")
+        new = materialise(_verify(_plausible(found, texts), texts), "links")
+        gained = new.count() / max(1, found.count())
         tested = found if tested is None else tested.union(found)
         edges = new if edges is None else edges.union(new)
-        if not new.isEmpty():
+        if gained:
             comp = materialise(components(edges), "components")
         if last:
             return comp
