@@ -39,14 +39,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/quantgrove/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Cut lineage: write to the shared folder and read again.
 
-    Unlike a cached block, the files outlive any executor.
+    Unlike a cached block, the files outlive any executor. ``files`` bounds
+    their number, where the caller knows the table to be small for its
+    partitions.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -51,7 +51,9 @@ from quantgrove.llm.common import batch_of, documents_of, materialise
 #: Words of a shingle; the likeness asked for, in hundredths; largest l; bits of the sketch; rows of a salt.
 WIDTH, PERCENT, MOST_MATCHES, BITS, SALTED = 5, 75, 4, 18, 20_000
 #: Hub rounds at most; how many pair rows for each row of a prefix the last step may make before another round is tried; hubs that a class is compared with in a round; share of links among them below which no further round is made.
-ROUNDS, PAYS, HUBS, GAIN = 4, 8, 3, 0.1
+ROUNDS, PAYS, HUBS, GAIN = 4, 8, 3, 0.5
+#: Rows of a prefix for each file of the tables that are made from them.
+FILE_ROWS = 40_000
 _BLOCK = 1 << 12
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,9 +218,12 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, cid, n, l, lead): prefix shingles that more than one class has (or may have)."""
+    """(token, cid, n, l, lead, share): prefix shingles that more than one class has (or may have).
+
+    ``share`` is how much of the set is commoner than usual, in per mille.
+    """
     sent, usual = docs.sparkSession.sparkContext.broadcast(counts), float(np.median(counts))
-    out = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("l", pa.int32()), ("lead", pa.int32())])
+    out = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("l", pa.int32()), ("lead", pa.int32()), ("share", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = sent.value, set()
@@ -235,7 +240,7 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     seen.add(cid)
                     tokens, c, lead, l = prefix(s, known, usual)
                     salts = np.maximum(c - 2 * usual, 0).astype(np.int64) // SALTED
-                    for col, v in zip(cols, (tokens.view(np.int64), np.where(salts > 0, (cid >> 7) % (salts + 1), -1), np.full(len(c), cid), np.full(len(c), len(s)), np.full(len(c), l), lead.astype(np.int32)), strict=True):
+                    for col, v in zip(cols, (tokens.view(np.int64), np.where(salts > 0, (cid >> 7) % (salts + 1), -1), np.full(len(c), cid), np.full(len(c), len(s)), np.full(len(c), l), lead.astype(np.int32), np.full(len(c), 1000 * int((c > 2 * usual).sum()) // len(s))), strict=True):
                         col.append(v)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(f.type) for c, f in zip(cols, out)], schema=out)
@@ -243,7 +248,7 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sent_held = None, False  # the last row so far, and whether it went out
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             t, s, c = cols[:3]
@@ -257,10 +262,10 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             if was:
                 go[0] = False
             if go.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (cols[0], *cols[2:])], names=["token", "cid", "n", "l", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (cols[0], *cols[2:])], names=["token", "cid", "n", "l", "lead", "share"])
 
-    rows = docs.select("text").mapInArrow(emit, "token long, salt int, cid long, n int, l int, lead int")
-    return materialise(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "cid").mapInArrow(shared, "token long, cid long, n int, l int, lead int"), "postings")
+    rows = docs.select("text").mapInArrow(emit, "token long, salt int, cid long, n int, l int, lead int, share int")
+    return materialise(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "cid").mapInArrow(shared, "token long, cid long, n int, l int, lead int, share int"), "postings")
 
 
 #: Bits of the filter by which the pass over the texts passes over classes without postings.
@@ -422,14 +427,14 @@ def _in_blocks(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.groupBy("token", "a", "b").applyInArrow(run, "x long, y long, l int")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(cid, comp) of every class with a link: comp is the smallest class of its component.
 
     Alternating large and small stars; every step is a minimum per key and a
     join, so no neighbourhood is ever gathered in one row.
     """
     e = edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct()
-    e = materialise(e, "stars")
+    e = materialise(e, "stars", files)
     while True:
         # Done when all are stars: nothing hangs on two, and nothing that something hangs on hangs itself.
         once = e.select(F.col("a").alias("v"), F.lit(1).alias("k")).union(e.select(F.col("b").alias("v"), F.lit(0).alias("k")))
@@ -437,10 +442,10 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("a").alias("cid"), F.col("b").alias("comp"))
         ways = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = ways.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = ways.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        e = materialise(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+        e = materialise(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "stars", files)
 
 
 def _close(n: str, m: str, percent: int = PERCENT):
@@ -450,28 +455,28 @@ def _close(n: str, m: str, percent: int = PERCENT):
 def _links(postings: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(cid, comp) of all linked classes, or None where no shingle is shared."""
     edges = tested = comp = None
-    # Of near copies, those that were changed least share most of their prefix: they make the best hubs.
-    share = postings.groupBy("cid").agg((F.count("*") / F.first("n")).alias("share"))
-    postings = materialise(postings.join(share, "cid"), "ranked")
+    # As many files as the rows call for, so that short tables don't cost a task for every partition of the session.
+    files = max(1, min(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), postings.count() // FILE_ROWS + 1))
     for turn in range(ROUNDS + 1):
         if comp is None:
             own = postings.withColumn("comp", F.col("cid"))
         else:
             own = postings.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        # A little chance in the order gives other hubs each time.
+        # Of near copies, those that were changed least have most that is common: they make the best hubs.
+        # A little chance in the order gives others each time.
         chance = 1 - F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1000)) / 4000.0
-        own = own.withColumn("order", -F.col("share") * chance)
+        own = own.withColumn("order", -(F.col("share") + 1) * chance)
         # Shingles whose classes are in several components; the rest can give no new link.
         each = own.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min(F.struct("order", "cid", "n", "comp")).alias("first"))
         mixed = each.groupBy("token").agg(F.min("first").alias("hub"), F.min("comp").alias("bottom"), F.max("comp").alias("top"), F.sum("k").alias("k"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk")).where(F.col("bottom") < F.col("top"))
-        mixed = materialise(mixed, "mixed")
+        mixed = materialise(mixed, "mixed", files)
         rows, pairs = mixed.agg(F.sum("k"), F.sum((F.col("k").cast("double") * F.col("k") - F.col("kk")) / 2)).first()
         if not rows:
             return comp
         last = turn == ROUNDS or (turn > 0 and (pairs <= PAYS * rows or gained < GAIN))
         if last:
             own = own.join(mixed.select("token", "k"), "token")
-            own = materialise(own.select("token", "k", "cid", "n", "l", "lead", "comp"), "mixed-rows")
+            own = materialise(own.select("token", "k", "cid", "n", "l", "lead", "comp"), "mixed-rows", files)
             few = own.where(F.col("k") <= JOINED)
             # The smaller set of a pair needs its lead only.
             one = few.where("lead = 1").select("token", "comp", F.col("cid").alias("x"), "n", "l")
@@ -487,13 +492,13 @@ def _links(postings: DataFrame, texts: DataFrame) -> DataFrame | None:
             near = near.join(tested, ["x", "y"], "left_anti") if tested is not None else near
             best = Window.partitionBy("x").orderBy(F.desc("k"), "y")
             found = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= HUBS).select("x", "y")
-        found = materialise(found, "candidates")
-        new = materialise(_verify(_plausible(found, texts), texts), "links")
+        found = materialise(found, "candidates", files)
+        new = materialise(_verify(_plausible(found, texts), texts), "links", files)
         gained = new.count() / max(1, found.count())
         tested = found if tested is None else tested.union(found)
         edges = new if edges is None else edges.union(new)
         if gained:
-            comp = materialise(components(edges), "components")
+            comp = components(edges, files)
         if last:
             return comp
     return comp
