@@ -87,28 +87,24 @@ def best_paths(replies: DataFrame) -> DataFrame:
     replies = materialise(replies, "replies")
     ids = replies.select("msg")
     links = replies.select("msg", "parent", "score").join(ids.withColumnRenamed("msg", "parent").withColumn("there", F.lit(1)), "parent", "left").select("msg", F.when(F.col("there") == 1, F.col("parent")).alias("up"), F.col("score").alias("sum"))
-    links = links.select("msg", "up", "sum", F.lit(1).cast("long").alias("span"), F.col("msg").alias("top"))
-    levels = []
-    while True:
-        links = materialise(links, "links")
+    links = materialise(links.select("msg", "up", "sum", F.lit(1).cast("long").alias("span"), F.col("msg").alias("top")), "links")
+    # Only threads that have not reached their root are joined again.
+    done, levels = links.where("up is null"), []
+    links = links.where("up is not null")
+    while not links.isEmpty():
         levels.append(links.select("msg", "up"))
-        if links.where("up is not null").isEmpty():
-            break
-        above = links.select(F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("span").alias("span2"), F.col("top").alias("top2"))
-        links = links.join(above, "up", "left").select(
-            "msg",
-            F.col("up2").alias("up"),
-            (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
-            (F.col("span") + F.coalesce("span2", F.lit(0))).alias("span"),
-            F.coalesce("top2", "top").alias("top"),
-        )
+        above = done.union(links).toDF("up", "up2", "sum2", "span2", "top2")
+        further = links.join(above, "up").select("msg", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("span") + F.col("span2")).alias("span"), F.col("top2").alias("top"))
+        further = materialise(further, "links")
+        done, links = done.union(further.where("up is null")), further.where("up is not null")
+    links = done
     # Every message now knows its root, its depth and the score of its path.
     leaves = links.join(replies.select(F.col("parent").alias("msg")).where("msg is not null").distinct(), "msg", "left_anti")
     best = leaves.groupBy("top").agg(F.min(F.struct((-F.col("sum")).alias("minus"), F.col("msg").alias("leaf"))).alias("b")).select(F.col("b.leaf").alias("msg"))
     marked = best
-    for level in levels[:-1]:
+    for level in levels:
         # With the ancestors up to 2^k above marked, one join marks those up to 2^(k+1).
-        marked = materialise(marked.union(level.where("up is not null").join(marked, "msg", "left_semi").select(F.col("up").alias("msg"))), "marked")
+        marked = materialise(marked.union(level.join(marked, "msg", "left_semi").select(F.col("up").alias("msg"))), "marked")
     place = links.select("msg", F.col("top").alias("root"), F.col("span").alias("depth"))
     return replies.join(marked, "msg", "left_semi").join(place, "msg").select("root", "depth", "conv_id", "role", "text")
 
