@@ -31,25 +31,22 @@ class Booster:
     #: (round, class) -> {node: (feature, at_most) or weight}
     trees: dict[tuple[int, int], dict[int, tuple | float]] = field(default_factory=dict)
 
-    def tree_expression(self, key: tuple[int, int], bins: Sequence[str]) -> Column:
+    def tree_sql(self, key: tuple[int, int], bins: Sequence[str]) -> str:
         nodes = self.trees[key]
 
-        def walk(i: int) -> Column:
+        def walk(i: int) -> str:
             n = nodes[i]
             if isinstance(n, tuple):
-                return F.when(F.col(bins[n[0]]) <= n[1], walk(2 * i + 1)).otherwise(walk(2 * i + 2))
-            return F.lit(float(n))
+                return f"CASE WHEN {bins[n[0]]} <= {n[1]} THEN {walk(2 * i + 1)} ELSE {walk(2 * i + 2)} END"
+            return f"cast({float(n)!r} as double)"
 
         return walk(0)
 
     def scores(self, bins: Sequence[str]) -> list[Column]:
         out = []
         for k in range(self.labels):
-            s = F.lit(0.0)
-            for r, c in self.trees:
-                if c == k:
-                    s = s + self.options.rate * self.tree_expression((r, c), bins)
-            out.append(s)
+            terms = [f"{self.options.rate!r}e0 * {self.tree_sql(t, bins)}" for t in self.trees if t[1] == k]
+            out.append(F.expr(" + ".join(["0e0", *terms])))
         return out
 
     def predict(self, df: DataFrame, bins: Sequence[str]) -> DataFrame:

@@ -66,37 +66,52 @@ def resize_area(image: Column, width: int, height: int, to_width: int, to_height
     return _grid(to_height, to_width, at)
 
 
-def gradient(image: Column, width: int, height: int, y: int, x: int) -> tuple[Column, Column]:
-    """(magnitude, orientation in 0..2 pi) by central differences; nothing at the border."""
-    if y in (0, height - 1) or x in (0, width - 1):
-        return F.lit(0.0), F.lit(0.0)
-    gx = (pixel(image, width, y, x + 1) - pixel(image, width, y, x - 1)).cast("double")
-    gy = (pixel(image, width, y + 1, x) - pixel(image, width, y - 1, x)).cast("double")
-    angle = F.atan2(gy, gx)
-    return F.sqrt(gx * gx + gy * gy), F.when(angle < 0, angle + 2 * math.pi).otherwise(angle)
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def gradients(image: Column, width: int, height: int) -> Column:
+    """Array of (at, magnitude, angle in 0..2 pi) of every pixel off the border, by central differences."""
+    inner = F.lit([y * width + x for y in range(1, height - 1) for x in range(1, width - 1)])
+
+    def differences(p: Column) -> Column:
+        side = lambda d: F.element_at(image, p + 1 + d).cast("double")
+        return F.struct(p.alias("at"), (side(1) - side(-1)).alias("gx"), (side(width) - side(-width)).alias("gy"))
+
+    def polar(g: Column) -> Column:
+        angle = F.atan2(g["gy"], g["gx"])
+        return F.struct(g["at"].alias("at"), F.sqrt(g["gx"] * g["gx"] + g["gy"] * g["gy"]).alias("magnitude"), F.when(angle < 0, angle + 2 * math.pi).otherwise(angle).alias("angle"))
+
+    return F.transform(F.transform(inner, differences), polar)
 
 
 def cell_histograms(image: Column, width: int, height: int, cell: int = 4, orientations: int = 4) -> Column:
     """Magnitudes by orientation in each cell: array of cells x orientations, row order."""
-    bins = []
-    for cy in range(height // cell):
-        for cx in range(width // cell):
-            pairs = [gradient(image, width, height, y, x) for y in range(cy * cell, (cy + 1) * cell) for x in range(cx * cell, (cx + 1) * cell) if 0 < y < height - 1 and 0 < x < width - 1]
-            placed = F.array(*[F.struct(m.alias("m"), F.least(F.floor(a / (2 * math.pi / orientations)), F.lit(orientations - 1)).cast("int").alias("o")) for m, a in pairs])
-            bins += [F.aggregate(placed, F.lit(0.0), lambda acc, p, o=o: acc + F.when(p["o"] == o, p["m"]).otherwise(0.0)) for o in range(orientations)]
-    return F.array(*bins)
+    across, down = width // cell, height // cell
+
+    def place(g: Column) -> Column:
+        y, x = F.floor(g["at"] / width / cell), F.floor(g["at"] % width / cell)
+        o = F.least(F.floor(g["angle"] / (2 * math.pi / orientations)), F.lit(orientations - 1))
+        inside = (y < down) & (x < across)
+        return F.struct(F.when(inside, (y * across + x) * orientations + o).cast("int").alias("i"), g["magnitude"].alias("m"))
+
+    zero = F.lit([0.0] * (across * down * orientations))
+    placed = F.transform(gradients(image, width, height), place)
+    return F.aggregate(placed, zero, lambda acc, g: F.transform(acc, lambda v, i: v + F.when(i == g["i"], g["m"]).otherwise(0.0)))
 
 
 def blocks(cells: Column, across: int, down: int, orientations: int = 4, size: int = 2, stride: int = 1) -> Column:
     """Blocks of size x size cells, each scaled to unit length (plus 1e-6 below), laid end to end."""
-    out = []
-    for by in range(0, down - size + 1, stride):
-        for bx in range(0, across - size + 1, stride):
-            places = [((by + y) * across + bx + x) * orientations + o for y in range(size) for x in range(size) for o in range(orientations)]
-            values = F.array(*[F.element_at(cells, p + 1) for p in places])
-            norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v)) + 1e-6
-            out.append(F.transform(values, lambda v, n=norm: v / n))
-    return F.concat(*out)
+    places = [
+        [((by + y) * across + bx + x) * orientations + o + 1 for y in range(size) for x in range(size) for o in range(orientations)]
+        for by in range(0, down - size + 1, stride)
+        for bx in range(0, across - size + 1, stride)
+    ]
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)) + 1e-6
+    unit = lambda v: _let(norm(v), lambda n: F.transform(v, lambda x: x / n))
+    each = F.array(*[F.lit(p) for p in places])
+    return _let(cells, lambda c: F.flatten(F.transform(each, lambda p: _let(F.transform(p, lambda k: F.element_at(c, k)), unit))))
 
 
 def hog(image: Column, width: int, height: int, cell: int = 4, orientations: int = 4, size: int = 2, stride: int = 1) -> Column:

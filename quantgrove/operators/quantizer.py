@@ -14,6 +14,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Features that share one aggregate: each chunk reads its own columns only, and its generated code stays small.
+CHUNK = 16
 #: Kinds of feature: full discrete range, discrete dictionary, continuous.
 FULL, DICTIONARY, CONTINUOUS = "DF", "DC", "CU"
 TINY = 1e-6
@@ -59,12 +61,27 @@ def clip(value: Column, mean: float, sd: float, z: float = 3.0) -> Column:
 
 
 def feature_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row per feature: n, mean, population sd, min, max; a single partial aggregate, then a tiny unpivot."""
-    aggs = []
-    for f in features:
-        c = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
-        aggs.append(F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high")).alias(f))
-    return df.agg(*aggs).select(F.explode(F.array(*features)).alias("s")).select("s.*")
+    """One row per feature: n, mean, population sd, min, max; partial aggregates over the wide table, then a tiny unpivot."""
+    parts = []
+    for i in range(0, len(features), CHUNK):
+        some, aggs = list(features[i : i + CHUNK]), []
+        for f in some:
+            c = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+            aggs.append(F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high")).alias(f))
+        parts.append(df.agg(*aggs).select(F.explode(F.array(*some)).alias("s")).select("s.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _aggregate(df: DataFrame, aggs: dict[str, Column]) -> dict:
+    """First row of named aggregates, a chunk at a time."""
+    names, out = list(aggs), {}
+    for i in range(0, len(names), CHUNK):
+        some = names[i : i + CHUNK]
+        out |= df.agg(*[aggs[k].alias(k) for k in some]).first().asDict()
+    return out
 
 
 def quantile_edges(values: Column, groups: int, exact: bool = True, accuracy: int = 100_000) -> Column:
@@ -88,9 +105,9 @@ def few_values(df: DataFrame, columns: dict[str, Column], most: int) -> dict[str
     """
     if not columns:
         return {}
-    about = df.agg(*[F.approx_count_distinct(c, 0.02).alias(k) for k, c in columns.items()]).first()
+    about = _aggregate(df, {k: F.approx_count_distinct(c, 0.02) for k, c in columns.items()})
     small = {k: c for k, c in columns.items() if about[k] <= 2 * most + 8}
-    sets = df.agg(*[F.collect_set(c).alias(k) for k, c in small.items()]).first() if small else {}
+    sets = _aggregate(df, {k: F.collect_set(c) for k, c in small.items()})
     return {k: tuple(sorted(sets[k])) if k in small and len(sets[k]) <= most else None for k in columns}
 
 
@@ -107,7 +124,7 @@ def fit(df: DataFrame, features: Sequence[str], bits: int = 2, z: float | None =
     clipped = {f: c if z is None or raw[f] is not None else clip(c, stats[f]["mean"], stats[f]["sd"], z) for f, c in cells.items()}
     after = raw | few_values(df, {f: c for f, c in clipped.items() if raw[f] is None}, groups)
     wide = [f for f in features if after[f] is None]
-    found = df.agg(*[F.struct(F.min(clipped[f]).alias("low"), F.max(clipped[f]).alias("high"), quantile_edges(clipped[f], groups, exact).alias("edges")).alias(f) for f in wide]).first() if wide else {}
+    found = _aggregate(df, {f: F.struct(F.min(clipped[f]).alias("low"), F.max(clipped[f]).alias("high"), quantile_edges(clipped[f], groups, exact).alias("edges")) for f in wide})
     rules = []
     for f in features:
         mean, sd = stats[f]["mean"] or 0.0, stats[f]["sd"] or 0.0

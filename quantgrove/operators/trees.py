@@ -59,24 +59,23 @@ class Forest:
             out.setdefault(n.tree_id, {})[n.node] = n
         return out
 
-    def tree_expression(self, tree_id: int, bins: Sequence[str]) -> Column:
-        """The tree as nested CASE expressions over bin columns."""
+    def tree_sql(self, tree_id: int, bins: Sequence[str]) -> str:
+        """The tree as nested CASE expressions over bin columns, as text: one parse, however many nodes."""
         nodes = self.trees()[tree_id]
 
-        def walk(i: int) -> Column:
+        def walk(i: int) -> str:
             n = nodes[i]
             if n.is_leaf or 2 * i + 1 not in nodes:
-                return F.lit(n.label)
-            return F.when(F.col(bins[n.feature]) <= n.at_most, walk(2 * i + 1)).otherwise(walk(2 * i + 2))
+                return str(n.label)
+            return f"CASE WHEN {bins[n.feature]} <= {n.at_most} THEN {walk(2 * i + 1)} ELSE {walk(2 * i + 2)} END"
 
         return walk(0)
 
     def predict(self, df: DataFrame, bins: Sequence[str], labels: int, abstain_below: float = 0.0) -> DataFrame:
         """Adds predicted, votes, total, consensus; all inside generated code, no join and no shuffle."""
-        votes = F.array(*[self.tree_expression(t, bins) for t in sorted(self.trees())])
-        df = df.withColumn("__votes", votes)
-        counts = [F.size(F.filter("__votes", lambda v, k=k: v == k)) for k in range(labels)]
-        best = F.greatest(*[F.struct(c.alias("c"), F.lit(-k).alias("k")) for k, c in enumerate(counts)]) if labels > 1 else F.struct(counts[0].alias("c"), F.lit(0).alias("k"))
+        votes = ", ".join(self.tree_sql(t, bins) for t in sorted(self.trees()))
+        df = df.withColumn("__votes", F.expr(f"array({votes})"))
+        best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(labels - 1)), lambda k: F.struct(F.size(F.filter("__votes", lambda v: v == k)).alias("c"), (-k).alias("k"))))
         df = df.withColumn("__best", best).withColumn("votes", F.col("__best.c")).withColumn("total", F.size("__votes"))
         df = df.withColumn("consensus", F.col("votes") / F.col("total"))
         return df.withColumn("predicted", F.when(F.col("consensus") >= abstain_below, -F.col("__best.k"))).drop("__votes", "__best")
@@ -201,11 +200,11 @@ def train_forest(df: DataFrame, row_id: str, bins: Sequence[str], labels: int, g
 
 def out_of_bag_votes(forest: Forest, df: DataFrame, row_id: str, bins: Sequence[str], min_share: float = 0.15) -> DataFrame:
     """Predictions of each row by the trees that did not see it; rows with too few such trees are left out."""
-    from quantgrove.functions.arithmetic import uniform
+    from quantgrove.functions.arithmetic import uniform_sql
 
     o = forest.options
-    unseen = lambda t: uniform(f"{row_id} * 131 + {t} * 7919", o.seed) < 0.36787944117144233
-    votes = F.array_compact(F.array(*[F.when(unseen(t), forest.tree_expression(t, bins)) for t in sorted(forest.trees())]))
+    each = ", ".join(f"CASE WHEN {uniform_sql(f'{row_id} * 131 + {t} * 7919', o.seed)} < 0.36787944117144233e0 THEN {forest.tree_sql(t, bins)} END" for t in sorted(forest.trees()))
+    votes = F.expr(f"array_compact(array({each}))")
     voted = df.withColumn("v", votes).where(F.size("v") >= math.ceil(min_share * o.trees))
     kinds = F.array_distinct("v")
     best = F.array_max(F.transform(kinds, lambda k: F.struct(F.size(F.filter("v", lambda x: x == k)).alias("c"), (-k).alias("k"))))

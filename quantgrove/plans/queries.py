@@ -98,7 +98,7 @@ def quantize_bins(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS e FROM orders),
-x AS (SELECT lo, greatest(1, trunc(65535 / (hi - lo))) AS k, list_transform(e, v -> trunc(least(65535.0, (v - lo) * greatest(1, trunc(65535 / (hi - lo)))) + 0.5)) AS g FROM s)
+x AS (SELECT lo, greatest(1, trunc(65535 / (hi - lo))) AS k, list_transform(e, lambda v: trunc(least(65535.0, (v - lo) * greatest(1, trunc(65535 / (hi - lo)))) + 0.5)) AS g FROM s)
 SELECT cast((floor((o_totalprice - lo) * k) >= g[1])::int + (floor((o_totalprice - lo) * k) >= g[2])::int + (floor((o_totalprice - lo) * k) >= g[3])::int AS int) AS bin, count(*) AS n FROM orders, x GROUP BY 1
 """)
 def quantize_fixed16(spark, sf_dir):
@@ -208,8 +208,8 @@ DRAW = draw_sql("doc_id")
 
 
 @query(f"""
-WITH r AS (SELECT doc_id, quality, count(*) OVER (PARTITION BY quality) AS n, row_number() OVER (PARTITION BY quality ORDER BY {DRAW} % 64, {DRAW}, doc_id) AS at FROM labels)
-SELECT doc_id, quality, CASE WHEN at <= greatest(floor(n * 0.7), 1) THEN 'train' WHEN at <= greatest(floor(n * 0.7), 1) + greatest(floor(n * 0.15), 1) THEN 'valid' ELSE 'test' END AS part FROM r
+WITH r AS (SELECT doc_id, quality, count(*) OVER (PARTITION BY quality) AS n, row_number() OVER (PARTITION BY quality ORDER BY {DRAW} % 64, {DRAW}, doc_id) AS nth FROM labels)
+SELECT doc_id, quality, CASE WHEN nth <= greatest(floor(n * 0.7), 1) THEN 'train' WHEN nth <= greatest(floor(n * 0.7), 1) + greatest(floor(n * 0.15), 1) THEN 'valid' ELSE 'test' END AS part FROM r
 """)
 def stratified_split(spark, sf_dir):
     return sampling.stratified_split(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "quality").select("doc_id", "quality", "part")
@@ -353,7 +353,8 @@ def vectors(spark, sf_dir) -> tuple[DataFrame, list[str], int]:
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
     q = quantizer.fit(df, [f"f{i}" for i in range(64)], bits=2)
     names = [f"bin_{i}" for i in range(64)]
-    return quantizer.bins(q, df).select("vec_id", "label", *names), names, 10
+    # Every level of every tree reads the bins again; a lost block is worked out anew from the source.
+    return quantizer.bins(q, df).select("vec_id", "label", *names).persist(), names, 10
 
 
 @query()
@@ -461,7 +462,7 @@ def first_drift_feature(spark, sf_dir):
 
 @query(f"""
 WITH {OLD}, n AS (SELECT least(o.lo, min(value)) AS nlo, greatest(o.hi, max(value)) AS nhi, o.lo, o.hi, o.e FROM events, o GROUP BY o.lo, o.hi, o.e),
-b AS (SELECT *, list_concat([lo], e, [hi]) AS om, list_concat([nlo], list_transform(e, x -> nlo + (x - lo) / (hi - lo) * (nhi - nlo)), [nhi]) AS nm FROM n),
+b AS (SELECT *, list_concat([lo], e, [hi]) AS om, list_concat([nlo], list_transform(e, lambda x: nlo + (x - lo) / (hi - lo) * (nhi - nlo)), [nhi]) AS nm FROM n),
 p AS (SELECT i AS old_bin, j AS new_bin, greatest(0, least(om[i + 2], nm[j + 2]) - greatest(om[i + 1], nm[j + 1])) AS overlap FROM b, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j))
 SELECT cast(old_bin AS int) AS old_bin, cast(arg_max(new_bin, overlap * 1000000 - new_bin * 1e-9) AS int) AS new_bin FROM p GROUP BY old_bin
 """)
@@ -565,19 +566,19 @@ def feedback_timeouts(spark, sf_dir):
 PIXELS = "p AS (SELECT vec_id, y, x, embedding[y * 8 + x + 1]::double AS v FROM embeddings, (SELECT unnest(range(8)) AS y), (SELECT unnest(range(8)) AS x))"
 
 
-def _long(spark, sf_dir, f) -> DataFrame:
-    df = table(spark, sf_dir, "embeddings").select("vec_id", f(F.transform("embedding", lambda v: v.cast("double"))).alias("a"))
-    return df.select("vec_id", F.posexplode("a").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("v", 5).alias("v"))
+def _long(spark, sf_dir, f, digits: int = 5) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings").select("vec_id", f(F.col("embedding")).alias("a"))
+    return df.select("vec_id", F.posexplode("a").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("v", digits).alias("v"))
 
 
 @query(f"WITH {PIXELS} SELECT vec_id, ty * 3 + tx AS i, round(v, 5) AS v FROM p JOIN (SELECT unnest(range(3)) AS ty) ON y = ty * 8 // 3 JOIN (SELECT unnest(range(3)) AS tx) ON x = tx * 8 // 3")
 def resize_nearest(spark, sf_dir):
-    return _long(spark, sf_dir, lambda a: images.resize_nearest(a, 8, 8, 3, 3))
+    return _long(spark, sf_dir, lambda a: F.transform(images.resize_nearest(a, 8, 8, 3, 3), lambda v: v.cast('double')))
 
 
-@query(f"WITH {PIXELS} SELECT vec_id, (y // 2) * 4 + x // 2 AS i, round(avg(v), 5) AS v FROM p GROUP BY ALL")
+@query(f"WITH {PIXELS} SELECT vec_id, (y // 2) * 4 + x // 2 AS i, round(avg(v), 6) AS v FROM p GROUP BY ALL")
 def resize_area(spark, sf_dir):
-    return _long(spark, sf_dir, lambda a: images.resize_area(a, 8, 8, 4, 4))
+    return _long(spark, sf_dir, lambda a: images.resize_area(a, 8, 8, 4, 4), 6)
 
 
 @query("""
@@ -722,7 +723,7 @@ def _run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append") ->
 def streaming_quantize(spark, sf_dir):
     """The quantiser over a file stream gives the batch's bins."""
     path = f"{sf_dir}/lineitem.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[l]ineitem.parquet")
     got = quantizer.bins(_quantizer(spark, sf_dir), stream).select("bin_0", "bin_1")
     return _run_stream(got, spark).groupBy("bin_0", "bin_1").agg(F.count("*").alias("n"))
 
@@ -732,6 +733,6 @@ def streaming_windowed_accuracy(spark, sf_dir):
     from quantgrove.streaming import jobs
 
     path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumns({"ts": F.col("ts").cast("timestamp"), "actual": (F.col("value") >= 50).cast("int"), "predicted": (F.col("user_id") % 2).cast("int")})
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumns({"ts": F.col("ts").cast("timestamp"), "actual": (F.col("value") >= 50).cast("int"), "predicted": (F.col("user_id") % 2).cast("int")})
     got = jobs.windowed_accuracy(stream, "ts", "1 hour", "30 minutes", "10 minutes")
     return _run_stream(got.select(F.col("window.start").alias("start"), "accuracy", "n"), spark)
