@@ -24,7 +24,7 @@ _PART = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\s]+")
 #: White space for str.split that is none for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Parts, and chunks, that a worker remembers at most; beyond, it starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 500_000
 #: Texts whose new parts are learnt together.
 TOGETHER = 64
 
