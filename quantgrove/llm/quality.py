@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantgrove.llm.common import batch_of, documents_of, held_out
+from quantgrove.llm.common import batch_of, documents_of, held_out, sample_by_hash
 
 #: Labelled documents of the sample, lines of a training chain, score from which a text is good.
 MOST, CHAIN, THRESHOLD = 8000, 64, 0.7
@@ -186,7 +186,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     spark = documents.sparkSession
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(usable & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    rows = sample_by_hash(marks, "doc_id", most).collect()
     if not rows:
         return Model(np.zeros(WIDTH), np.zeros((2, 2)), 1.0)
     chosen = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, quality int")  # at most ``most`` rows

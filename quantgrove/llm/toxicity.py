@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantgrove.llm.common import batch_of, documents_of, held_out
+from quantgrove.llm.common import batch_of, documents_of, held_out, sample_by_hash
 
 #: Hash buckets for words; sample bounds; words weighed at most; score from which a text is toxic.
 BUCKETS, MOST, MOST_UNLABELLED, WEIGHED, THRESHOLD = 1 << 20, 3000, 9000, 4096, 0.3
@@ -66,7 +66,7 @@ class Model:
             """Weight of every word met so far, up to a bounded number."""
 
             def __missing__(known, word):
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known.clear()
                 known[word] = w = self.weights.get(bucket(word), 0.0)
                 return w
@@ -144,9 +144,9 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST, most_unlabell
     if not found["n"] or not found["toxic"]:
         return Model(0.0, {}, 0.0)
     prior = found["toxic"] / found["n"]
-    by_hash = F.xxhash64("doc_id"), F.col("doc_id")
-    toxic = marks.where("toxic = 1").select("doc_id").orderBy(*by_hash).limit(most).withColumn("side", F.lit(1))
-    others = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where(usable).distinct().orderBy(*by_hash).limit(most_unlabelled).withColumn("side", F.lit(0))
+    toxic = sample_by_hash(marks.where("toxic = 1").select("doc_id"), "doc_id", most).withColumn("side", F.lit(1))
+    others = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where(usable).distinct()
+    others = sample_by_hash(others, "doc_id", most_unlabelled).withColumn("side", F.lit(0))
     # At most most + most_unlabelled ids: small enough to send to every executor.
     chosen = spark.createDataFrame([tuple(r) for r in toxic.union(others).collect()] or [(-1, 0)], "doc_id long, side int")
     out = pa.schema([("side", pa.int32()), ("text", pa.int64()), ("words", pa.list_(pa.int32()))])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantgrove.llm.common import batch_of
+from quantgrove.llm.common import batch_of, sample_by_hash
 
 #: (verdict, host, path). A rule fits its host and all subdomains where the path starts with its own.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -143,7 +143,8 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 def fit(labelled: DataFrame, most: int = MOST) -> Trees:
     """Train on (url, label) rows, label 1 for block; at most ``most`` distinct URLs, by hash."""
     host, path = host_and_path(F.col("url"))
-    rows = labelled.where("url is not null and label is not null").groupBy("url").agg(F.max("label").alias("label")).orderBy(F.xxhash64("url"), "url").limit(most).select("url", host.alias("host"), path.alias("path"), "label").collect()
+    known = labelled.where("url is not null and label is not null").groupBy("url").agg(F.max("label").alias("label"))
+    rows = sample_by_hash(known, "url", most).select("url", host.alias("host"), path.alias("path"), "label").collect()
     if not rows:
         return Trees()
     y = np.array([r["label"] for r in rows], float)
