@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-HEAD = struct.Struct("<IH")
+#: u32 rows, u16 features.
+HEAD, HEAD_SIZE = "<IH", 6
 
 
 def row_bytes(features: int, bits: int) -> int:
@@ -41,7 +42,7 @@ def write(df: DataFrame, path: str, label: str, bins: list[str], bits: int) -> i
 
     store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     with store.open_output_stream(at) as out:
-        out.write(HEAD.pack(n, len(bins)))
+        out.write(struct.pack(HEAD, n, len(bins)))
         for row in _parts(df, label, bins, bits):
             out.write(row)
     return n
@@ -66,8 +67,8 @@ def read(spark: SparkSession, path: str, bits: int, chunk_rows: int = 100_000) -
         return store.open_input_file(at)
 
     with opened(path) as f:
-        n, features = HEAD.unpack(f.read(HEAD.size))
-        if f.size() != HEAD.size + n * row_bytes(features, bits):
+        n, features = struct.unpack(HEAD, f.read(HEAD_SIZE))
+        if f.size() != HEAD_SIZE + n * row_bytes(features, bits):
             raise ValueError(f"{path} has another size than its header says")
     ranges = spark.range(0, n, chunk_rows, max(1, -(-n // chunk_rows)))
 
@@ -76,7 +77,7 @@ def read(spark: SparkSession, path: str, bits: int, chunk_rows: int = 100_000) -
         for b in batches:
             for start in b.column(0).to_pylist():
                 with opened(path) as f:
-                    f.seek(HEAD.size + start * size)
+                    f.seek(HEAD_SIZE + start * size)
                     labels, bins = decode(f.read(min(chunk_rows, n - start) * size), features, bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(labels))), pa.array(labels.astype(np.int32)), pa.array(bins.astype(np.int16).tolist(), pa.list_(pa.int16()))], names=["row_id", "label", "bins"])
 
