@@ -36,13 +36,12 @@ def test_syncmers_do_not_depend_on_context():
     inner = "the quick brown fox jumps over the lazy dog and runs away from the very angry bear "
     a, b = (set(fingerprints.syncmers(x + inner * 2)[0].tolist()) for x in ("prefix one ", "some other start, longer than that: "))
     whole = set(fingerprints.syncmers(inner * 2)[0].tolist())
-    assert len(a & b) > 0.8 * len(whole)
+    assert len(a & b & whole) > 0.7 * len(whole)  # all but those that reach over the passage's ends
 
 
 def test_syncmers_brute_force():
     text, k, s = "abracadabra, said the wizard of the lost valley", 12, 5
-    codes = [0] * (k - 1) + [ord(c) + 2 for c in text] + [0] * (k - 1)
-    codes = [c or 1 for c in codes]
+    codes = [0] * (k - 1) + [ord(c) + 1 for c in text] + [0] * (k - 1)
     windows = lambda w: fingerprints._mix(fingerprints._windows(np.array(codes, np.uint64), w)).tolist()
     inner = windows(s)
     want = [i for i in range(len(codes) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
