@@ -583,10 +583,10 @@ def resize_area(spark, sf_dir):
 
 @query("""
 WITH g AS (SELECT ty, tx, ty * 7 / 4.0e0 AS fy, tx * 7 / 4.0e0 AS fx FROM (SELECT unnest(range(5)) AS ty), (SELECT unnest(range(5)) AS tx)), c AS (SELECT *, floor(fy)::int AS y0, floor(fx)::int AS x0, least(floor(fy)::int + 1, 7) AS y1, least(floor(fx)::int + 1, 7) AS x1, fy - floor(fy) AS dy, fx - floor(fx) AS dx FROM g)
-SELECT vec_id, ty * 5 + tx AS i, round(embedding[y0 * 8 + x0 + 1]::double * ((1 - dx) * (1 - dy)) + embedding[y0 * 8 + x1 + 1]::double * (dx * (1 - dy)) + embedding[y1 * 8 + x0 + 1]::double * ((1 - dx) * dy) + embedding[y1 * 8 + x1 + 1]::double * (dx * dy), 5) AS v FROM embeddings, c
+SELECT vec_id, ty * 5 + tx AS i, round(embedding[y0 * 8 + x0 + 1]::double * ((1 - dx) * (1 - dy)) + embedding[y0 * 8 + x1 + 1]::double * (dx * (1 - dy)) + embedding[y1 * 8 + x0 + 1]::double * ((1 - dx) * dy) + embedding[y1 * 8 + x1 + 1]::double * (dx * dy), 9) AS v FROM embeddings, c
 """)
 def resize_bilinear(spark, sf_dir):
-    return _long(spark, sf_dir, lambda a: images.resize_bilinear(a, 8, 8, 5, 5))
+    return _long(spark, sf_dir, lambda a: images.resize_bilinear(a, 8, 8, 5, 5), 9)
 
 
 HOG = f"""WITH {PIXELS}, d AS (SELECT vec_id, y, x, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) - lag(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS gx, lead(v) OVER (PARTITION BY vec_id, x ORDER BY y) - lag(v) OVER (PARTITION BY vec_id, x ORDER BY y) AS gy FROM p),
