@@ -82,8 +82,21 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Texts of an Arrow batch: Spark's default of 10000 may be hundreds of MB of long texts, in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session that hands texts to Python in batches of bounded rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def documents_of(df: DataFrame) -> DataFrame:
     """(doc_id long, text string): a null text counts as empty."""
+    df = in_small_batches(df)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantgrove.llm.common import batch_of, documents_of, materialise
+from quantgrove.llm.common import batch_of, documents_of, in_small_batches, materialise
 
 #: Words of a shingle; the likeness asked for, in hundredths; largest l; bits of the sketch; rows of a salt.
 WIDTH, PERCENT, MOST_MATCHES, BITS, SALTED = 5, 75, 4, 18, 20_000
@@ -545,7 +545,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
             extra = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(low, pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "__cid", "__low"])
 
-    rows = documents.mapInArrow(run, f"{out}, __cid long, __low long")
+    rows = in_small_batches(documents).mapInArrow(run, f"{out}, __cid long, __low long")
     kept = rows.where("__cid is not null").join(keepers, ["__cid", "__low"], "left_semi")
     kept = kept.withColumn("__nth", F.row_number().over(Window.partitionBy("__cid", "__low").orderBy("__low"))).where("__nth = 1").drop("__nth")
     return kept.unionByName(rows.where("__cid is null")).select(*[F.col(f"`{f.name}`") for f in schema])

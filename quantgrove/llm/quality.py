@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantgrove.llm.common import batch_of, documents_of, held_out, sample_by_hash
+from quantgrove.llm.common import batch_of, documents_of, held_out, in_small_batches, sample_by_hash
 
 #: Labelled documents of the sample, lines of a training chain, score from which a text is good.
 MOST, CHAIN, THRESHOLD = 8000, 64, 0.7
@@ -232,4 +232,4 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = THRESHOLD)
                 texts = some.column(some.schema.get_field_index("text")).to_pylist()
                 yield some.filter(pa.array([s >= threshold for s in quality_of([t or "" for t in texts], model)], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_small_batches(documents).mapInArrow(run, documents.schema)

@@ -10,7 +10,7 @@ where the same holds, and its distinct chunks go through the library.
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -24,7 +24,7 @@ _PART = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\s]+")
 #: White space for str.split that is none for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Parts, and chunks, that a worker remembers at most; beyond, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Texts whose new parts are learnt together.
 TOGETHER = 64
 
@@ -53,7 +53,7 @@ class WordEncoder:
 
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # The same model for lower-case parts between blanks, without the passes that change nothing there.
@@ -70,6 +70,13 @@ class WordEncoder:
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        """The file as it is, for texts that aren't plain; many workers never need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 

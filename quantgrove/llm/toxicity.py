@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantgrove.llm.common import batch_of, documents_of, held_out, sample_by_hash
+from quantgrove.llm.common import batch_of, documents_of, held_out, in_small_batches, sample_by_hash
 
 #: Hash buckets for words; sample bounds; words weighed at most; score from which a text is toxic.
 BUCKETS, MOST, MOST_UNLABELLED, WEIGHED, THRESHOLD = 1 << 20, 3000, 9000, 4096, 0.3
@@ -186,4 +186,4 @@ def keep_clean(documents: DataFrame, model: Model, threshold: float = THRESHOLD)
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([of(t or "") < threshold for t in texts], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_small_batches(documents).mapInArrow(run, documents.schema)
