@@ -13,8 +13,9 @@ the other way. With the logistic loss, sigmoid(g) estimates the probability of
 being toxic.
 
 A text's features are the hashed words that it holds, whatever their number,
-over its whole length. Only words that differ between positives and unlabelled
-by more than chance are weighed. Training takes bounded samples (``most``
+over its whole length. All words seen often enough are weighed; the less a word
+differs between positives and what the prior leaves as clean, the more its
+weight is shrunk. Training takes bounded samples (``most``
 positives and ``most_unlabelled`` texts, by hash of id, one of each distinct
 text); scoring covers every document.
 
@@ -40,8 +41,8 @@ from quantgrove.llm.common import batch_of, documents_of, held_out, in_small_bat
 
 #: Hash buckets for words; sample bounds; words weighed at most; score from which a text is toxic.
 BUCKETS, MOST, MOST_UNLABELLED, WEIGHED, THRESHOLD = 1 << 20, 3000, 9000, 4096, 0.3
-#: Words, the most telling first, from which the share of hidden positives is estimated.
-MARKS = 32
+#: Words, the most telling first, from which the share of hidden positives is estimated; evidence beyond chance.
+MARKS, SURE = 32, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -86,6 +87,19 @@ def _sums(w: np.ndarray, flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarra
     return np.bincount(row, weights=w[flat], minlength=n)
 
 
+def evidence(p: np.ndarray, u: np.ndarray, np_: int, nu: int, prior: float) -> np.ndarray:
+    """Signed root of the likelihood ratio of each word's shares among positives and clean texts.
+
+    Of the unlabelled that hold a word, as many as the prior says are hidden positives and not counted as clean.
+    """
+    clean, n = np.maximum(u - prior * nu * p / np_, 0), (1 - prior) * nu
+    a, c, both = (p + 0.5) / (np_ + 1), (clean + 0.5) / (n + 1), (p + clean + 1) / (np_ + n + 2)
+    a, c, both = (np.clip(x, 1e-12, 1 - 1e-12) for x in (a, c, both))
+    fit = lambda k, m, q: k * np.log(q) + (m - k) * np.log1p(-q)
+    gain = fit(p + 0.5, np_ + 1, a) + fit(clean + 0.5, n + 1, c) - fit(p + 0.5, np_ + 1, both) - fit(clean + 0.5, n + 1, both)
+    return np.sign(a - c) * np.sqrt(2 * np.maximum(gain, 0))
+
+
 def train(positives: list[list[int]], unlabelled: list[list[int]], prior: float, weighed: int = WEIGHED, steps: int = 400, rate: float = 0.1, shrink: float = 0.08) -> Model:
     """Fit on the word buckets of each text."""
     if not positives or not unlabelled or prior <= 0:
@@ -93,11 +107,13 @@ def train(positives: list[list[int]], unlabelled: list[list[int]], prior: float,
     prior = min(prior, 0.95)
     p, u = (np.bincount(np.concatenate([np.asarray(x, np.int64) for x in side] or [np.empty(0, np.int64)]), minlength=BUCKETS) for side in (positives, unlabelled))
     np_, nu = len(positives), len(unlabelled)
-    a, b = (p + 0.5) / (np_ + 1), (u + 0.5) / (nu + 1)
-    both = (p + u + 1) / (np_ + nu + 2)
-    z = (a - b) / np.sqrt(both * (1 - both) * (1 / np_ + 1 / nu) + 1e-12)
-    chosen = np.argsort(-z, kind="stable")[:weighed]
-    chosen = chosen[(z[chosen] > 4) & (p[chosen] >= 3) & (a[chosen] > 4 * b[chosen])]
+    chosen = np.flatnonzero((p >= 3) | (u >= 10))
+    z = evidence(p[chosen], u[chosen], np_, nu, prior)
+    most = np.argsort(-np.abs(z), kind="stable")[:weighed]
+    most = most[np.argsort(-z[most], kind="stable")]
+    chosen, z = chosen[most], z[most]
+    marks = min(MARKS, int((z > SURE).sum()))
+    scale = np.minimum(np.abs(z) / SURE, 1) ** 2
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     flat, row = [], []
@@ -108,14 +124,15 @@ def train(positives: list[list[int]], unlabelled: list[list[int]], prior: float,
         row.append(np.full(len(at), i))
     flat, row = np.concatenate(flat), np.concatenate(row)
     n = np_ + nu
-    if len(chosen):
+    if marks:
         # Positives hidden among the unlabelled hold these words as often as the confirmed ones do.
-        marked = np.bincount(row[flat < MARKS], minlength=n) > 0
+        marked = np.bincount(row[flat < marks], minlength=n) > 0
         prior = max(0.5 / nu, min(prior, marked[np_:].mean() / max(marked[:np_].mean(), 1e-9)))
+    # w holds the weights over their scales: an equal ridge on it shrinks words of little evidence most.
     w, bias = np.zeros(len(chosen)), np.log(prior / (1 - prior))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        g = bias + _sums(w, flat, row, n)
+        g = bias + _sums(w * scale, flat, row, n)
         s = 1 / (1 + np.exp(-np.clip(g, -60, 60)))
         # Logistic loss: as a positive log(1+e^-g), slope s-1; as a negative log(1+e^g), slope s.
         negative = np.logaddexp(0, g)
@@ -127,12 +144,12 @@ def train(positives: list[list[int]], unlabelled: list[list[int]], prior: float,
         else:  # undo: raise the negative part until it is a risk again
             slope[:np_] = prior * s[:np_] / np_
             slope[np_:] = -s[np_:] / nu
-        dw, db = np.bincount(flat, weights=slope[row], minlength=len(w)) + shrink / np_ * w, slope.sum()
+        dw, db = np.bincount(flat, weights=slope[row], minlength=len(w)) * scale + shrink / np_ * w, slope.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * dw, 0.999 * v + 0.001 * dw * dw, 0.9 * mb + 0.1 * db, 0.999 * vb + 0.001 * db * db
         fix, size = 1 - 0.9**t, 1 - 0.999**t
         w = w - rate * (m / fix) / (np.sqrt(v / size) + 1e-8)
         bias = bias - rate * (mb / fix) / (np.sqrt(vb / size) + 1e-8)
-    return Model(float(bias), {int(k): float(x) for k, x in zip(chosen, w)}, prior)
+    return Model(float(bias), {int(k): float(x) for k, x in zip(chosen, w * scale)}, prior)
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST, most_unlabelled: int = MOST_UNLABELLED) -> Model:

@@ -37,6 +37,20 @@ def test_held_out_labels_are_not_learnt(tables):
     assert a.bias == b.bias and a.weights == b.weights
 
 
+@pytest.mark.parametrize("share", [0.25, 0.3, 0.4])
+def test_many_toxic_texts_are_told_from_clean_ones(tables, share):
+    docs, labels = tables
+    rows = docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("toxic is not null").dropDuplicates(["text"]).select("doc_id", "text", "toxic")
+    found = rows.groupBy("toxic").count().orderBy("toxic").collect()
+    clean = int(found[1]["count"] * (1 - share) / share)
+    rows = common.sample_by_hash(rows.where("toxic = 0"), "doc_id", clean).union(rows.where("toxic = 1"))
+    rows = rows.localCheckpoint()
+    assert abs(rows.agg(F.avg("toxic")).first()[0] - share) < 0.01
+    got = toxicity.score(rows, toxicity.fit(rows, rows)).join(rows.select("doc_id", "toxic"), "doc_id").where(common.held_out(F.col("doc_id")))
+    right = {r["toxic"]: r["right"] for r in got.groupBy("toxic").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")).alias("right")).collect()}
+    assert right[1] > 0.75 and right[0] > 0.95
+
+
 def test_risk_stays_above_zero_and_finds_the_words():
     rng = np.random.default_rng(1)
     plain = lambda: rng.integers(1000, 60_000, 30).tolist()
