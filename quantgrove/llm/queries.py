@@ -39,7 +39,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judge(pages, urls.fit(urls.labelled_by_rules(pages)))
+    return urls.judge(pages, urls.fit(urls.labelled_by_terms(pages)))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

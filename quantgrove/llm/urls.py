@@ -4,9 +4,10 @@ Hosts and rules are matched by DataFrame functions. Where no rule fits, trees
 decide: boosted regression trees on the logistic loss (numpy, histogram
 splits) over length, depth, digit ratio, entropy, parameter counts, host shape
 and suffix statistics. They are trained from labelled URLs: by default those
-of the table that a rule decides (its verdict is the label) and those whose
-host holds a word of a fixed list of advertising terms (labelled block), a
-bounded sample by hash. Suffix statistics are the smoothed share of blocked
+of the table whose host holds a word of a fixed list of advertising terms
+(labelled block) and all others that no rule decides (labelled allow), a
+bounded sample by hash. A rule's verdict is no label: it follows from the rule
+and not from what the features see. Suffix statistics are the smoothed share of blocked
 URLs by top-level name among the labelled ones.
 
 Defined results: a null url, or one without ``://``, has empty host and path
@@ -158,12 +159,12 @@ def fit(labelled: DataFrame, most: int = MOST) -> Trees:
     return Trees(*boost(x, y), suffixes, usual)
 
 
-def labelled_by_rules(pages: DataFrame, rules=RULES, terms=TERMS) -> DataFrame:
-    """(url, label): a rule's verdict, or block for a host with a word of the list."""
+def labelled_by_terms(pages: DataFrame, rules=RULES, terms=TERMS) -> DataFrame:
+    """(url, label): block for a host with a word of the list, allow for any other URL without a rule, else null."""
     host, path = host_and_path(F.col("url"))
     _, verdict = fitting_rule(host, path, rules)
     term = host.rlike(rf"(^|[.-])({'|'.join(terms)})([.-]|$)")
-    return pages.select("url", F.when(term, F.lit(1)).when(verdict == "block", F.lit(1)).when(verdict == "allow", F.lit(0)).alias("label"))
+    return pages.select("url", F.when(term, F.lit(1)).when(verdict.isNull(), F.lit(0)).alias("label"))
 
 
 def judge(pages: DataFrame, trees: Trees, rules=RULES) -> DataFrame:

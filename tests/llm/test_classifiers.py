@@ -119,6 +119,14 @@ def test_trees_fit_what_they_can_see(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), urls.fit(spark.createDataFrame([], "url string, label int"))).count() == 0
 
 
+def test_clean_urls_without_a_rule_are_let_through(spark):
+    pages = spark.read.parquet(f"{BIG}/pages.parquet").select("page_id", "url")
+    got = urls.judge(pages, urls.fit(urls.labelled_by_terms(pages))).where("rule is null")
+    term = F.col("host").rlike(rf"(^|[.-])({'|'.join(urls.TERMS)})([.-]|$)")
+    shares = {r["term"]: r["blocked"] for r in got.groupBy(term.alias("term")).agg(F.avg((F.col("verdict") == "block").cast("double")).alias("blocked")).collect()}
+    assert shares[False] < 0.02 and shares[True] > 0.95
+
+
 def test_boosting_lowers_the_loss_each_round():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 3))
