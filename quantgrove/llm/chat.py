@@ -5,8 +5,9 @@ are enumerated by iterative self-joins that double the distance each time:
 after k joins every message knows its ancestor 2^k above and the score summed
 on the way, so a thread of any depth takes logarithmically many joins and no
 row ever holds a path. The leaves of a root are ranked by the score of their
-whole path; the best one's ancestors are marked by walking the same doubled
-pointers back down. Each chosen path becomes one conversation.
+whole path; the ancestors of the best ``most`` (all with None) are marked by
+walking the same doubled pointers back down, for each leaf on its own. Each
+chosen path becomes one conversation.
 
 A turn is written as ``<s>role\\ntext</s>``. Inside roles and texts the control
 strings ``<s> </s> [INST] [/INST]`` get a backslash after their bracket, and
@@ -82,8 +83,8 @@ def replies_of(conversations: DataFrame) -> DataFrame:
     )
 
 
-def best_paths(replies: DataFrame) -> DataFrame:
-    """Messages of the best root-to-leaf path of every root: root, depth and the message's columns."""
+def best_paths(replies: DataFrame, most: int | None = 1) -> DataFrame:
+    """Messages of the best ``most`` root-to-leaf paths of every root, all with None: root, leaf, depth and the message's columns."""
     replies = materialise(replies, "replies")
     ids = replies.select("msg")
     links = replies.select("msg", "parent", "score").join(ids.withColumnRenamed("msg", "parent").withColumn("there", F.lit(1)), "parent", "left").select("msg", F.when(F.col("there") == 1, F.col("parent")).alias("up"), F.col("score").alias("sum"))
@@ -100,28 +101,29 @@ def best_paths(replies: DataFrame) -> DataFrame:
     links = done
     # Every message now knows its root, its depth and the score of its path.
     leaves = links.join(replies.select(F.col("parent").alias("msg")).where("msg is not null").distinct(), "msg", "left_anti")
-    best = leaves.groupBy("top").agg(F.min(F.struct((-F.col("sum")).alias("minus"), F.col("msg").alias("leaf"))).alias("b")).select(F.col("b.leaf").alias("msg"))
-    marked = best
+    if most is not None:
+        leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("top").orderBy(-F.col("sum"), "msg"))).where(F.col("rank") <= most)
+    marked = leaves.select(F.col("msg").alias("leaf"), "msg")
     for level in levels:
         # With the ancestors up to 2^k above marked, one join marks those up to 2^(k+1).
-        marked = materialise(marked.union(level.join(marked, "msg", "left_semi").select(F.col("up").alias("msg"))), "marked")
+        marked = materialise(marked.union(level.join(marked, "msg").select("leaf", F.col("up").alias("msg"))), "marked")
     place = links.select("msg", F.col("top").alias("root"), F.col("span").alias("depth"))
-    return replies.join(marked, "msg", "left_semi").join(place, "msg").select("root", "depth", "conv_id", "role", "text")
+    return replies.join(marked, "msg").join(place, "msg").select("root", "leaf", "depth", "conv_id", "role", "text")
 
 
 def format_paths(paths: DataFrame) -> DataFrame:
-    """One formatted conversation per root, with the spans that carry loss (start, length in code points)."""
+    """One formatted conversation per root and leaf, with the spans that carry loss (start, length in code points)."""
     turn = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE))
-    turns = paths.select("root", "conv_id", "depth", turn.alias("turn"), (F.col("role") == "assistant").alias("loss"), F.length(escape_role(F.col("role"))).alias("r"), F.length(escape(F.col("text"))).alias("n"))
-    before = Window.partitionBy("root").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    turns = paths.select("root", "leaf", "conv_id", "depth", turn.alias("turn"), (F.col("role") == "assistant").alias("loss"), F.length(escape_role(F.col("role"))).alias("r"), F.length(escape(F.col("text"))).alias("n"))
+    before = Window.partitionBy("root", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("at", F.coalesce(F.sum(F.length("turn").cast("long")).over(before), F.lit(0).cast("long")))
     span = F.struct((F.col("at") + F.col("r") + len(OPEN) + 1).alias("start"), F.col("n").cast("long").alias("length"))
-    whole = turns.groupBy("root").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("depth", "turn"))).alias("ts"), F.array_sort(F.collect_list(F.when(F.col("loss"), span))).alias("loss_spans"))
-    return whole.select("conv_id", "root", F.array_join(F.transform("ts", lambda t: t["turn"]), "").alias("formatted"), "loss_spans")
+    whole = turns.groupBy("root", "leaf").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("depth", "turn"))).alias("ts"), F.array_sort(F.collect_list(F.when(F.col("loss"), span))).alias("loss_spans"))
+    return whole.select("conv_id", "root", "leaf", F.array_join(F.transform("ts", lambda t: t["turn"]), "").alias("formatted"), "loss_spans")
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
-    return format_paths(best_paths(replies_of(conversations)))
+def format_conversations(conversations: DataFrame, most: int | None = 1) -> DataFrame:
+    return format_paths(best_paths(replies_of(conversations), most))
 
 
 def parse(formatted: Column) -> Column:
