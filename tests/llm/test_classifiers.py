@@ -44,7 +44,7 @@ def test_many_toxic_texts_are_told_from_clean_ones(tables, share):
     found = rows.groupBy("toxic").count().orderBy("toxic").collect()
     clean = int(found[1]["count"] * (1 - share) / share)
     rows = common.sample_by_hash(rows.where("toxic = 0"), "doc_id", clean).union(rows.where("toxic = 1"))
-    rows = rows.localCheckpoint()
+    rows = rows.checkpoint()
     assert abs(rows.agg(F.avg("toxic")).first()[0] - share) < 0.01
     got = toxicity.score(rows, toxicity.fit(rows, rows)).join(rows.select("doc_id", "toxic"), "doc_id").where(common.held_out(F.col("doc_id")))
     right = {r["toxic"]: r["right"] for r in got.groupBy("toxic").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")).alias("right")).collect()}
