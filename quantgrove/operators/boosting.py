@@ -7,10 +7,11 @@ once per level and stores nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,39 +74,66 @@ def gain(gl, hl, g, h, ridge: float, gamma: float):
     return 0.5 * (gl * gl / (hl + ridge) + (g - gl) * (g - gl) / (h - hl + ridge) - g * g / (h + ridge)) - gamma
 
 
+def split_gains(cells: DataFrame, groups: int, options: BoostOptions = BoostOptions()) -> DataFrame:
+    """node, feature, at_most, gain, gl, hl, g, h of every threshold, from a histogram; as large as the model's shape."""
+    run = Window.partitionBy("node", "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("node", "feature")
+    keys = cells.select("node", "feature").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    full = keys.join(cells, ["node", "feature", "bin"], "left").fillna(0.0, ["g", "h"])
+    t = full.select("node", "feature", F.col("bin").alias("at_most"), F.sum("g").over(run).alias("gl"), F.sum("h").over(run).alias("hl"), F.sum("g").over(whole).alias("g"), F.sum("h").over(whole).alias("h")).where(F.col("at_most") < groups - 1)
+    return t.withColumn("gain", gain(F.col("gl"), F.col("hl"), F.col("g"), F.col("h"), options.ridge, options.gamma))
+
+
+def best_splits(gains: DataFrame, options: BoostOptions = BoostOptions()) -> DataFrame:
+    """The best threshold of each node whose sides weigh enough and whose gain exceeds gamma once more."""
+    heavy = (F.col("hl") >= options.min_child_weight) & (F.col("h") - F.col("hl") >= options.min_child_weight) & (F.col("gain") > options.gamma)
+    order = F.struct(F.round("gain", 9).alias("x"), (-F.col("feature")).alias("f"), (-F.col("at_most")).alias("b"))
+    best = F.max(F.struct(order.alias("o"), "feature", "at_most")).alias("s")
+    return gains.where(heavy).groupBy("node").agg(best).select("node", "s.feature", "s.at_most")
+
+
 def train(df: DataFrame, bins: Sequence[str], labels: int, groups: int, options: BoostOptions = BoostOptions()) -> Booster:
+    """One pass over the rows per level; one row per open node reaches the driver."""
     o, model = options, Booster(labels, options)
     for r in range(o.rounds):
         for k in range(labels):
             g, h = gradients(model.scores(bins), F.col("label"), k)
             nodes: dict[int, tuple | float] = {}
             for depth in range(o.depth + 1):
-                where = _node_of(nodes, bins)
-                cells = histogram(df, bins, g, h, where).where("node >= 0").collect()  # by the model's shape
-                by: dict[int, dict] = {}
-                for c in cells:
-                    by.setdefault(c["node"], {})[(c["feature"], c["bin"])] = (c["g"], c["h"])
-                if not by:
+                cells = histogram(df, bins, g, h, _node_of(nodes, bins)).where("node >= 0").persist()
+                totals = cells.where("feature = 0").groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+                best = {x["node"]: (x["feature"], x["at_most"]) for x in best_splits(split_gains(cells, groups, o), o).collect()} if depth < o.depth and totals else {}
+                cells.unpersist()
+                if not totals:
                     break
-                for i, cs in by.items():
-                    tg, th = (sum(v[x] for (f, _), v in cs.items() if f == 0) for x in (0, 1))
-                    best = None
-                    if depth < o.depth:
-                        for f in range(len(bins)):
-                            gl = hl = 0.0
-                            for b in range(groups - 1):
-                                a = cs.get((f, b), (0.0, 0.0))
-                                gl, hl = gl + a[0], hl + a[1]
-                                if hl < o.min_child_weight or th - hl < o.min_child_weight:
-                                    continue
-                                v = gain(gl, hl, tg, th, o.ridge, o.gamma)
-                                if v > o.gamma and (best is None or v > best[0]):
-                                    best = (v, f, b)
-                    nodes[i] = (best[1], best[2]) if best else -tg / (th + o.ridge)
+                for x in totals:
+                    nodes[x["node"]] = best.get(x["node"]) or -x["g"] / (x["h"] + o.ridge)
             model.trees[(r, k)] = nodes  # later classes of the round see it
     return model
 
 
+def evaluate(model: Booster, df: DataFrame, bins: Sequence[str]) -> DataFrame:
+    """One row: rows, how many are right, accuracy."""
+    return model.predict(df, bins).agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("label")).alias("right")).withColumn("accuracy", F.col("right") / F.greatest(F.col("n"), F.lit(1)))
+
+
+def save(model: Booster, spark, path: str) -> None:
+    """A row per node, with the options beside it."""
+    rows = [(r, k, i, *(n if isinstance(n, tuple) else (-1, -1)), None if isinstance(n, tuple) else float(n)) for (r, k), nodes in model.trees.items() for i, n in nodes.items()]
+    df = spark.createDataFrame(rows, "round int, class int, node long, feature int, at_most int, weight double")
+    df.withColumn("options", F.lit(json.dumps(asdict(model.options)))).withColumn("labels", F.lit(model.labels)).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> Booster:
+    rows = spark.read.parquet(path).orderBy("round", "class", "node").collect()
+    if not rows:
+        raise ValueError(f"{path} holds no booster")
+    model = Booster(rows[0]["labels"], BoostOptions(**json.loads(rows[0]["options"])))
+    for r in rows:
+        model.trees.setdefault((r["round"], r["class"]), {})[r["node"]] = (r["feature"], r["at_most"]) if r["feature"] >= 0 else r["weight"]
+    return model
+
+
 def _node_of(nodes: dict, bins: Sequence[str]) -> Column:
     """Where a row stands: an open node, or -1 in a finished leaf."""
 

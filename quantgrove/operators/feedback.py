@@ -39,12 +39,59 @@ def append_with_eviction(window: DataFrame, new: DataFrame, order: str, most: in
 
 
 def timed_out(events: DataFrame, key: str, ts: str, wait_seconds: int) -> DataFrame:
-    """Adds ``skipped``: how many waits have passed since the row before of the same key."""
-    gap = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(Window.partitionBy(key).orderBy(ts)))
+    """Adds ``skipped``: how many waits, by whole seconds, have passed since the row before of the same key."""
+    micros = F.unix_micros(ts)
+    gap = F.floor((micros - F.lag(micros).over(Window.partitionBy(key).orderBy(ts))) / 1_000_000)
     return events.withColumn("skipped", F.coalesce(F.floor(gap / wait_seconds), F.lit(0)))
 
 
+def by_ids(df: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:
+    """Rows whose id is in a set."""
+    return df.join(ids.select(row_id).distinct(), row_id, "left_semi")
+
+
+def chunk(df: DataFrame, row_id: str, k: int, size: int) -> DataFrame:
+    """The k-th chunk of a fixed number of ids; the filter reaches the scan."""
+    return df.where(F.col(row_id).between(k * size, (k + 1) * size - 1))
+
+
 def trim_log(log: DataFrame, order: str, most: int) -> DataFrame:
     """A log over its bound keeps the newest half of the bound."""
     n = log.count()
     return log if n <= most else last_n(log, order, most // 2)
+
+
+def append_log(spark, path: str, rows: DataFrame, order: str, most: int) -> DataFrame:
+    """Append to an inference log on shared storage, trimmed; returns the log.
+
+    The log is written as a new version beside the old one, and the newest
+    whole version counts, so a writer that is lost leaves the old one.
+    """
+    version, log = log_version(spark, path)
+    both = rows if log is None else log.unionByName(rows)
+    trim_log(both, order, most).write.mode("overwrite").parquet(f"{path}/{version + 1:08d}")
+    return log_version(spark, path)[1]
+
+
+def log_version(spark, path: str) -> tuple[int, DataFrame | None]:
+    """(number, rows) of the newest whole version."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")) or []
+    found = max((int(s.getPath().getParent().getName()) for s in done), default=-1)
+    return (found, spark.read.parquet(f"{path}/{found:08d}")) if found >= 0 else (-1, None)
+
+
+def last_n_score(log: DataFrame, order: str, n: int, flags, labels: int) -> DataFrame:
+    """One row: the score of the newest n logged (predicted, actual) pairs, averaged over labels that occur."""
+    from quantgrove.operators import metrics
+
+    known = last_n(log, order, n).where(F.col("actual").between(0, labels - 1) & F.col("predicted").between(0, labels - 1))
+    return metrics.macro(metrics.confusion(known), supported_only=True).withColumn("score", metrics.score(None, flags))
+
+
+def decode_labels(df: DataFrame, dictionary: DataFrame, label_id: str) -> DataFrame:
+    """Adds label and success: an id without an entry has a null label and did not succeed."""
+    known = dictionary.select(F.col("label_id").alias(label_id), "label")
+    return df.join(known, label_id, "left").withColumn("success", F.col("label").isNotNull())

@@ -70,3 +70,38 @@ def without(a: DataFrame, ids: list[int] | None = None, low: int | None = None,
 def fingerprint(bags: DataFrame) -> DataFrame:
     """Order-free hash of each tree's bag; equal hashes mean bags that repeat."""
     return bags.groupBy("tree_id").agg(F.bit_xor(F.xxhash64("row", "weight")).alias("bag_hash"), F.sum("weight").alias("size"))
+
+
+def insert_range(a: DataFrame, low: int, high: int, cap: int) -> DataFrame:
+    """One more of each id from low to high, up to the cap."""
+    more = a.sparkSession.range(low, high + 1).select("id", F.lit(1).cast("long").alias("cnt"))
+    return plus(a, more, cap)
+
+
+def fill(spark, low: int, high: int, cnt: int = 1) -> DataFrame:
+    """Every id from low to high, as often."""
+    return spark.range(low, high + 1).select("id", F.lit(cnt).cast("long").alias("cnt"))
+
+
+def erase_one(a: DataFrame, ids: list[int]) -> DataFrame:
+    """One instance less of some ids."""
+    return a.withColumn("cnt", F.col("cnt") - F.col("id").isin(ids).cast("long")).where("cnt > 0")
+
+
+def nth(a: DataFrame, n: int) -> DataFrame:
+    """The n-th id from 0 in ascending order with repeats; no row beyond the end.
+
+    Ids are counted by a range sort first, so that only the part that holds the
+    place is looked into.
+    """
+    from quantgrove.operators.feedback import numbered
+
+    parts = a.repartitionByRange("id").sortWithinPartitions("id").select("id", "cnt", F.spark_partition_id().alias("part"))
+    sizes = parts.groupBy("part").agg(F.sum("cnt").alias("k"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("part").collect()  # a row a part
+    before = 0
+    for r in sizes:
+        if n < before + r["k"]:
+            own = numbered(items(a.where(F.col("id").between(r["low"], r["high"]))), ["id", "copy"])
+            return own.where(F.col("pos") == n - before).select("id")
+        before += r["k"]
+    return a.select("id").limit(0)

@@ -36,36 +36,84 @@ def _grid(height: int, width: int, f) -> Column:
     return F.array(*[f(y, x) for y in range(height) for x in range(width)])
 
 
+def _places(size: int, to: int) -> list[float]:
+    return [i * size / to for i in range(to)]
+
+
 def resize_nearest(image: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
     return _grid(to_height, to_width, lambda y, x: pixel(image, width, y * height // to_height, x * width // to_width))
 
 
 def resize_bilinear(image: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
-    sx, sy = (width - 1) / max(1, to_width - 1) if to_width > 1 else 0.0, (height - 1) / max(1, to_height - 1) if to_height > 1 else 0.0
+    """Whole pixel values at places x * width / to_width, between the pixel there and the next one; cut, not rounded.
+
+    What lies within 1e-6 of the next whole number counts as that number.
+    """
+    xs, ys = _places(width, to_width), _places(height, to_height)
 
     def at(y: int, x: int) -> Column:
-        fx, fy = x * sx, y * sy
-        x0, y0 = int(fx), int(fy)
+        x0, y0 = min(int(xs[x]), width - 1), min(int(ys[y]), height - 1)
         x1, y1 = min(x0 + 1, width - 1), min(y0 + 1, height - 1)
-        dx, dy = fx - x0, fy - y0
+        dx, dy = xs[x] - x0, ys[y] - y0
         p = lambda b, a: pixel(image, width, b, a).cast("double")
-        return p(y0, x0) * ((1 - dx) * (1 - dy)) + p(y0, x1) * (dx * (1 - dy)) + p(y1, x0) * ((1 - dx) * dy) + p(y1, x1) * (dx * dy)
+        mixed = p(y0, x0) * ((1 - dx) * (1 - dy)) + p(y0, x1) * (dx * (1 - dy)) + p(y1, x0) * ((1 - dx) * dy) + p(y1, x1) * (dx * dy)
+        return F.least(F.greatest(F.floor(mixed + 1e-6), F.lit(0)), F.lit(255)).cast("int")
 
     return _grid(to_height, to_width, at)
 
 
 def resize_area(image: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
-    """Mean of the source pixels that fall in each target pixel."""
+    """Whole mean of the source pixels from the target's first place to where the next target begins, both included."""
 
     def at(y: int, x: int) -> Column:
-        y0, y1 = y * height // to_height, max(y * height // to_height + 1, (y + 1) * height // to_height)
-        x0, x1 = x * width // to_width, max(x * width // to_width + 1, (x + 1) * width // to_width)
-        cells = [pixel(image, width, b, a).cast("double") for b in range(y0, y1) for a in range(x0, x1)]
-        return sum(cells[1:], cells[0]) / len(cells)
+        ys = range(y * height // to_height, min((y + 1) * height // to_height, height - 1) + 1)
+        xs = range(x * width // to_width, min((x + 1) * width // to_width, width - 1) + 1)
+        cells = [pixel(image, width, b, a).cast("long") for b in ys for a in xs]
+        return F.floor(sum(cells[1:], cells[0]) / len(cells)).cast("int")
 
     return _grid(to_height, to_width, at)
 
 
+RESIZE = {"nearest": resize_nearest, "bilinear": resize_bilinear, "area": resize_area}
+#: Bytes of a pixel by format; fixed frame sizes of the camera configuration, (width, height).
+BYTES = {"grayscale": 1, "rgb565": 2, "rgb888": 3, "yuv422": 2}
+FRAMES = {"96x96": (96, 96), "qqvga": (160, 120), "qcif": (176, 144), "hqvga": (240, 176), "240x240": (240, 240), "qvga": (320, 240), "cif": (400, 296), "hvga": (480, 320), "vga": (640, 480), "svga": (800, 600), "xga": (1024, 768), "hd": (1280, 720), "sxga": (1280, 1024), "uxga": (1600, 1200)}
+
+
+def to_grey(raw: Column, form: str) -> Column:
+    """Grey pixels of interleaved bytes in one of the formats."""
+    if form == "grayscale":
+        return raw
+    if form == "yuv422":
+        return grey_yuv422(raw)
+    n = BYTES[form]
+    at = F.sequence(F.lit(0), (F.size(raw) / n).cast("int") - 1)
+    byte = lambda i, k: F.element_at(raw, i * n + k + 1)
+    if form == "rgb565":  # high byte first
+        return F.transform(at, lambda i: grey_rgb565(byte(i, 0) * 256 + byte(i, 1)))
+    return F.transform(at, lambda i: grey_rgb888(byte(i, 0), byte(i, 1), byte(i, 2)))
+
+
+def check_config(width: int, height: int, form: str, to_width: int, to_height: int, method: str = "nearest", cell: int = 4, block: int = 2) -> dict[str, int]:
+    """Sizes of the buffers that a pipeline needs; raises where the settings cannot work."""
+    if form not in BYTES or method not in RESIZE:
+        raise ValueError(f"unknown format {form!r} or method {method!r}")
+    if min(width, height, to_width, to_height, cell, block) <= 0:
+        raise ValueError("sizes must be positive")
+    if to_width % cell or to_height % cell or to_width // cell < block or to_height // cell < block:
+        raise ValueError("the resized image must hold whole cells, and a block of them at least")
+    if form == "yuv422" and width % 2:
+        raise ValueError("rows of YUV 4:2:2 have an even number of pixels")
+    return {"input": width * height * BYTES[form], "grey": width * height, "output": to_width * to_height}
+
+
+def pipeline(raw: Column, width: int, height: int, form: str, to_width: int, to_height: int, method: str = "nearest") -> Column:
+    """Bytes of a frame to grey pixels of the wanted size; null where the number of bytes is wrong."""
+    sizes = check_config(width, height, form, to_width, to_height, method, 1, 1)
+    grey = _let(to_grey(raw, form), lambda g: g if (width, height) == (to_width, to_height) else RESIZE[method](g, width, height, to_width, to_height))
+    return F.when(F.size(raw) == sizes["input"], grey)
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with the value worked out once."""
     return F.element_at(F.transform(F.array(value), body), 1)

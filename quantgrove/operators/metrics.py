@@ -106,6 +106,56 @@ def majority(df: DataFrame, row: str, label: str) -> DataFrame:
     return best.select(row, F.col("b.label").alias("label"), (-F.col("b.m")).alias("votes"), "total", (-F.col("b.m") / F.col("total")).alias("consensus"))
 
 
+def label_accuracy(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """label, recall of the label, and the accuracy over all rows beside it: both are called accuracy per label somewhere."""
+    t = confusion(df, actual, predicted).where("tp + fn > 0")
+    whole = t.agg(ratio(F.sum("tp"), F.sum(F.col("tp") + F.col("fn"))).alias("overall"))
+    return t.crossJoin(whole).select("label", ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), "overall")
+
+
+def auto_config(df: DataFrame, label: str, features: int, use_gini: bool = True) -> DataFrame:
+    """One row: metric, way of validating, split ratios and search ranges from the sizes of the classes."""
+    one = imbalance(df, label)
+    n, k, f, low = F.col("rows").cast("double"), F.greatest(F.col("classes"), F.lit(1)).cast("double"), F.lit(float(features)), F.col("rarest_percent")
+    each, expected = n / k, 100 / k
+    short = F.greatest(F.lit(0.0), expected - low) / expected
+    within = lambda x, a, b: F.least(F.greatest(x, F.lit(a)), F.lit(b))
+    top_split = F.least(F.lit(16), F.least(F.lit(8), F.floor(F.log2(n) / 4 + f / 25))).cast("int")
+    top_split = F.when(top_split <= 2, 6).otherwise(top_split)
+    density = within(each / 600, 0.3, 3.0)
+    low_ratio = within(0.12 + 0.05 * density * (1 - F.least(short, F.lit(0.5))), 0.1, 0.35)
+    high_ratio = F.least(F.lit(0.6), F.greatest(low_ratio + 0.12 + 0.04 * density, low_ratio + 0.1))
+    cap = F.greatest(F.col("max_split") - 1, F.lit(1))
+    depth = F.greatest(F.lit(8), F.floor(F.log2(n) + F.log2(f)) + 1).cast("int")
+    classes = F.greatest(k, F.lit(2.0))
+    by_rows = within(1 / (1 + F.greatest(F.lit(0.0), F.log2(F.greatest(n, F.lit(2.0))) - 10) / 2.5), 0.25, 1.15)
+    rare = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 100 / classes - low) / (100 / classes))
+    by_features = 0.9 + 0.1 * F.least(F.lit(1.0), F.log2(F.greatest(f, F.lit(2.0))) / 8)
+    factor = by_rows * (1 - 0.5 * rare) * by_features
+    threshold = within(0.003 * (1 - 1 / classes) * factor, 0.0003, 0.02) if use_gini else within(0.02 * F.log2(classes) * factor, 0.002, 0.2)
+    one = one.withColumns({"max_split": top_split, "low_ratio": low_ratio, "high_ratio": high_ratio, "top_depth": depth})
+    least_leaf = F.least(F.greatest(F.floor(2 * F.col("low_ratio")).cast("int"), F.lit(1)), cap)
+    return one.select(
+        "classes", "rows", "metric",
+        F.when(each < 200, "k_fold").when(each < 500, "oob").otherwise("valid").alias("validation"),
+        F.when(each > 800, 0.9).when(each > 150, 0.8).otherwise(0.75).alias("train_ratio"),
+        F.lit(2).alias("least_split"), F.col("max_split").alias("most_split"),
+        least_leaf.alias("least_leaf"), F.greatest(least_leaf, F.least(F.ceil(F.col("max_split") * F.col("high_ratio")).cast("int"), cap)).alias("most_leaf"),
+        F.when(F.col("top_depth") > 18, F.col("top_depth") - 6).when(F.col("top_depth") > 12, F.col("top_depth") - 4).when(F.col("top_depth") > 8, F.col("top_depth") - 2).otherwise(4).alias("least_depth"),
+        F.col("top_depth").alias("most_depth"), threshold.alias("impurity_threshold"),
+    )
+
+
+def top_classes(df: DataFrame, label: str, n: int = 5) -> DataFrame:
+    """The n largest classes."""
+    return df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(n)
+
+
+def valid_rows(bins: Column, largest: int) -> Column:
+    """Whether every bin of a row is at most the largest there is."""
+    return F.forall(bins, lambda b: b.between(0, largest))
+
+
 def imbalance(df: DataFrame, label: str) -> DataFrame:
     """Classes, rows, largest over smallest class, share of the rarest, and the metric to train for."""
     counts = df.groupBy(label).agg(F.count("*").alias("k"))

@@ -1,6 +1,6 @@
 """Feature quantisers: learnt from column statistics, applied as column expressions.
 
-Fitting takes two aggregations over the wide table and no shuffle of rows:
+Fitting takes two aggregations over the values of the wide table and no shuffle of rows:
 statistics, then quantiles of the clipped values. The result is a small Python
 object (a rule per feature), so applying it compiles to comparisons with
 literals that stay inside whole-stage code generation.
@@ -9,12 +9,12 @@ literals that stay inside whole-stage code generation.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Features that share one aggregate: each chunk reads its own columns only, and its generated code stays small.
+#: Columns that share one aggregate, so that its generated code stays small.
 CHUNK = 16
 #: Kinds of feature: full discrete range, discrete dictionary, continuous.
 FULL, DICTIONARY, CONTINUOUS = "DF", "DC", "CU"
@@ -46,6 +46,20 @@ class Quantizer:
     def rule(self, feature: str) -> Rule:
         return next(r for r in self.rules if r.feature == feature)
 
+    def save(self, spark, path: str) -> None:
+        """A row per feature, in order, and the settings beside each."""
+        rows = [(i, *asdict(r).values(), self.bits, self.z) for i, r in enumerate(self.rules)]
+        ddl = "i int, feature string, kind string, low double, high double, mean double, sd double, edges array<double>, `values` array<double>, bits int, z double"
+        spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else float(v) if j in (3, 4, 5, 6) else v for j, v in enumerate(r)) for r in rows], ddl).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark, path: str) -> Quantizer:
+        rows = spark.read.parquet(path).orderBy("i").collect()
+        if not rows:
+            raise ValueError(f"{path} holds no quantiser")
+        rules = tuple(Rule(r["feature"], r["kind"], r["low"], r["high"], r["mean"], r["sd"], tuple(r["edges"]), tuple(r["values"])) for r in rows)
+        return Quantizer(rows[0]["bits"], rules, rows[0]["z"])
+
     def with_rule(self, rule: Rule) -> Quantizer:
         return replace(self, rules=tuple(rule if r.feature == rule.feature else r for r in self.rules))
 
@@ -60,19 +74,23 @@ def clip(value: Column, mean: float, sd: float, z: float = 3.0) -> Column:
     return F.greatest(F.least(value, F.lit(mean + z * sd)), F.lit(mean - z * sd)) if sd > TINY else value
 
 
+def tall(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
+    """(i, v): a row for each value, numbered by column. Only the columns named are read, and sums are partial in each task."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("v")) for i, c in enumerate(columns)])).alias("s")).select("s.*")
+
+
+def _cells(features: Sequence[str]) -> list[Column]:
+    return [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+
+
+def _stats(values: DataFrame, *more: Column) -> DataFrame:
+    return values.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("low"), F.max("v").alias("high"), *more)
+
+
 def feature_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row per feature: n, mean, population sd, min, max; partial aggregates over the wide table, then a tiny unpivot."""
-    parts = []
-    for i in range(0, len(features), CHUNK):
-        some, aggs = list(features[i : i + CHUNK]), []
-        for f in some:
-            c = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
-            aggs.append(F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high")).alias(f))
-        parts.append(df.agg(*aggs).select(F.explode(F.array(*some)).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """One row per feature: n, mean, population sd, min, max; one pass."""
+    name = F.element_at(F.lit(list(features)), F.col("i") + 1)
+    return _stats(tall(df, _cells(features))).select(name.alias("feature"), "n", "mean", "sd", "low", "high")
 
 
 def _aggregate(df: DataFrame, aggs: dict[str, Column]) -> dict:
@@ -90,6 +108,57 @@ def quantile_edges(values: Column, groups: int, exact: bool = True, accuracy: in
     return F.percentile(values, at) if exact else F.percentile_approx(values, at, accuracy)
 
 
+#: Cells that an interval is cut into at each pass; rows from which exact quantiles are found by such passes.
+CELLS, REFINE_ROWS = 4096, 5_000_000
+
+
+def refined_edges(df: DataFrame, columns: dict[str, Column], groups: int, cells: int = CELLS) -> dict[str, list[float]]:
+    """The same exact edges for tables of any size: no task ever holds more than the cells.
+
+    Each pass counts every interval that holds a wanted rank in ``cells`` cells
+    of equal width, with the least and largest value of each; the cell that
+    holds the rank is the next interval. A rank is found when its cell has one
+    value only. Values are finite and not null.
+    """
+    ends = _aggregate(df, {k: F.struct(F.count(c).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")) for k, c in columns.items()})
+    marks = {k: [b * (ends[k]["n"] - 1) / groups for b in range(1, groups)] for k in columns if ends[k]["n"]}
+    found: dict[tuple[str, int], float] = {}
+    # (column, rank) -> (low, high, rows below low)
+    open_ = {(k, r): (ends[k]["low"], ends[k]["high"], 0) for k in marks for m in marks[k] for r in (int(m), min(int(m) + 1, ends[k]["n"] - 1))}
+    while open_:
+        for key, (low, high, _) in list(open_.items()):
+            if low == high:
+                found[key] = low
+                del open_[key]
+        spans = sorted({(k, *v) for (k, _), v in open_.items()})
+        if not spans:
+            break
+        each = []
+        for i, (k, low, high, _) in enumerate(spans):
+            c, width = columns[k], (high - low) / cells
+            cell = F.least(F.floor((c - F.lit(low)) / F.lit(width)), F.lit(cells - 1)).cast("int") if width > 0 else F.lit(0)
+            each.append(F.when(c.between(low, high), F.struct(F.lit(i).alias("span"), cell.alias("cell"), c.alias("v"))))
+        tall = df.select(F.explode(F.array_compact(F.array(*each))).alias("s")).select("s.*")
+        counted = tall.groupBy("span", "cell").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        by: dict[int, list] = {}
+        for r in counted.collect():  # spans x cells at most
+            by.setdefault(r["span"], []).append((r["cell"], r["n"], r["low"], r["high"]))
+        for key, (low, high, below) in list(open_.items()):
+            at = below
+            for _, n, a, z in sorted(by[spans.index((key[0], low, high, below))]):
+                if key[1] < at + n:
+                    open_[key] = (a, z, at)
+                    break
+                at += n
+    out = {}
+    for k, ms in marks.items():
+        out[k] = []
+        for m in ms:
+            lo, hi = found[(k, int(m))], found[(k, min(int(m) + 1, ends[k]["n"] - 1))]
+            out[k].append(lo + (m - int(m)) * (hi - lo))
+    return out
+
+
 def settle_edges(edges: Sequence[float], low: float, high: float, groups: int) -> tuple[float, ...]:
     """Equal-width edges where all quantiles coincide though the values spread."""
     if edges and all(abs(e - edges[0]) <= TINY for e in edges) and high - low > TINY:
@@ -97,44 +166,55 @@ def settle_edges(edges: Sequence[float], low: float, high: float, groups: int) -
     return tuple(edges)
 
 
-def few_values(df: DataFrame, columns: dict[str, Column], most: int) -> dict[str, tuple[float, ...] | None]:
-    """Sorted distinct values of each column with at most that many, else None.
+def few_values(values: DataFrame, about: dict[int, int], most: int) -> dict[int, tuple[float, ...]]:
+    """Sorted distinct values of the columns that have at most ``most``.
 
-    A sketch rules out the columns with many values first, so that sets are
-    collected for small domains only.
+    ``about`` is a sketch's count for each column: sets are gathered only where
+    it is small, so no set grows with the rows.
     """
-    if not columns:
+    small = [i for i, n in about.items() if n <= 2 * most + 8]
+    if not small:
         return {}
-    about = _aggregate(df, {k: F.approx_count_distinct(c, 0.02) for k, c in columns.items()})
-    small = {k: c for k, c in columns.items() if about[k] <= 2 * most + 8}
-    sets = _aggregate(df, {k: F.collect_set(c) for k, c in small.items()})
-    return {k: tuple(sorted(sets[k])) if k in small and len(sets[k]) <= most else None for k in columns}
+    sets = values.where(F.col("i").isin(small)).groupBy("i").agg(F.collect_set("v").alias("s")).collect()
+    return {r["i"]: tuple(sorted(r["s"])) for r in sets if len(r["s"]) <= most}
 
 
-def fit(df: DataFrame, features: Sequence[str], bits: int = 2, z: float | None = 3.0, exact: bool = True) -> Quantizer:
+def fit(df: DataFrame, features: Sequence[str], bits: int = 2, z: float | None = 3.0, exact: bool = True, refine_rows: int = REFINE_ROWS) -> Quantizer:
     """Learn a rule for every feature.
 
     Discreteness is judged on raw values to decide on clipping, and on clipped
-    values to decide on the kind of rule.
+    values to decide on the kind of rule. Two passes do, and one more where a
+    feature has few values. Exact edges of a table with more than
+    ``refine_rows`` rows are found by passes of bounded memory.
     """
-    groups = 1 << bits
-    cells = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}
-    stats = {r["feature"]: r for r in feature_stats(df, features).collect()}
-    raw = few_values(df, cells, groups)
-    clipped = {f: c if z is None or raw[f] is not None else clip(c, stats[f]["mean"], stats[f]["sd"], z) for f, c in cells.items()}
-    after = raw | few_values(df, {f: c for f, c in clipped.items() if raw[f] is None}, groups)
-    wide = [f for f in features if after[f] is None]
-    found = _aggregate(df, {f: F.struct(F.min(clipped[f]).alias("low"), F.max(clipped[f]).alias("high"), quantile_edges(clipped[f], groups, exact).alias("edges")) for f in wide})
+    groups, cells = 1 << bits, _cells(features)
+    about = F.approx_count_distinct("v", 0.02).alias("about")
+    values = tall(df, cells)
+    stats = {r["i"]: r for r in _stats(values, about).collect()}
+    if not stats:  # an empty table: nothing is known
+        return Quantizer(bits, tuple(Rule(f, DICTIONARY, 0.0, 0.0, 0.0, 0.0) for f in features), z)
+    known = few_values(values, {i: r["about"] for i, r in stats.items()}, groups)
+    wide = [i for i in range(len(features)) if i not in known]
+    clipped = {i: cells[i] if z is None else clip(cells[i], stats[i]["mean"], stats[i]["sd"], z) for i in wide}
+    found, edges_of = {}, {}
+    if wide:
+        refine = exact and stats[0]["n"] > refine_rows
+        inner = tall(df, [clipped[i] for i in wide])
+        after = inner.groupBy("i").agg(F.min("v").alias("low"), F.max("v").alias("high"), about, *([] if refine else [quantile_edges(F.col("v"), groups, exact).alias("edges")])).collect()
+        found = {wide[r["i"]]: r for r in after}
+        known |= {wide[k]: v for k, v in few_values(inner, {r["i"]: r["about"] for r in after}, groups).items()}
+        wide = [i for i in wide if i not in known]
+        edges_of = {int(k): v for k, v in refined_edges(df, {str(i): clipped[i] for i in wide}, groups).items()} if refine else {i: found[i]["edges"] for i in wide}
     rules = []
-    for f in features:
-        mean, sd = stats[f]["mean"] or 0.0, stats[f]["sd"] or 0.0
-        values = after[f]
-        if values is not None:
-            full = len(values) == groups and [int(v) for v in values] == list(range(groups))
-            rules.append(Rule(f, FULL if full else DICTIONARY, min(values, default=0.0), max(values, default=0.0), mean, sd, values=values))
+    for i, f in enumerate(features):
+        mean, sd = stats[i]["mean"], stats[i]["sd"]
+        if i in known:
+            v = known[i]
+            full = len(v) == groups and [int(x) for x in v] == list(range(groups))
+            rules.append(Rule(f, FULL if full else DICTIONARY, min(v), max(v), mean, sd, values=v))
         else:
-            low, high, edges = found[f]["low"], found[f]["high"], found[f]["edges"]
-            rules.append(Rule(f, CONTINUOUS, low, high, mean, sd, edges=settle_edges(edges, low, high, groups)))
+            low, high = found[i]["low"], found[i]["high"]
+            rules.append(Rule(f, CONTINUOUS, low, high, mean, sd, edges=settle_edges(edges_of[i], low, high, groups)))
     return Quantizer(bits, tuple(rules), z)
 
 
@@ -258,3 +338,27 @@ def shrink(rule: Rule, counts: Sequence[int], groups: int, most: int = 2) -> tup
 
 def remap(bin_column: Column, to: Sequence[int]) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in to]), bin_column + 1)
+
+
+def remap_rows(df: DataFrame, maps: dict[str, Sequence[int]]) -> DataFrame:
+    """Stored bins under a changed quantiser: a view, so every later read sees the new bins and nothing is written."""
+    return df.withColumns({c: remap(F.col(c), to).cast("int") for c, to in maps.items()})
+
+
+def adapt(quantizer: Quantizer, df: DataFrame) -> tuple[Quantizer, dict[int, list[int]]]:
+    """Widen every rule whose range the new rows leave, values clipped as the rules say; returns the maps by feature number.
+
+    One aggregate over the new rows, with a row's worth of results.
+    """
+    values = {}
+    for r in quantizer.rules:
+        c = F.coalesce(F.col(r.feature).cast("double"), F.lit(0.0))
+        values[r.feature] = clip(c, r.mean, r.sd, quantizer.z) if quantizer.z is not None else c
+    ends = _aggregate(df, {k: F.struct(F.min(c).alias("low"), F.max(c).alias("high")) for k, c in values.items()})
+    maps = {}
+    for i, r in enumerate(quantizer.rules):
+        low, high = ends[r.feature]["low"], ends[r.feature]["high"]
+        if low is not None and (low < r.low or high > r.high):
+            rule, maps[i] = expand(r, low, high, quantizer.groups)
+            quantizer = quantizer.with_rule(rule)
+    return quantizer, maps

@@ -24,9 +24,9 @@ def separation(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     a, b = centroids.select(F.col(label).alias("la"), *[F.col(f"c_{f}").alias(f"a_{f}") for f in features]), centroids.select(F.col(label).alias("lb"), *[F.col(f"c_{f}").alias(f"b_{f}") for f in features])
     square = lambda x, y: (x - y) * (x - y)
     between = F.sqrt(sum((square(F.col(f"a_{f}"), F.col(f"b_{f}")) for f in features), F.lit(0.0)))
-    inter = a.join(F.broadcast(b), F.col("la") < F.col("lb")).agg(F.avg(between).alias("inter"))  # classes, at most 256
+    inter = a.join(b, F.col("la") < F.col("lb")).agg(F.avg(between).alias("inter"))  # pairs of classes
     within = F.sqrt(sum((square(F.col(f), F.col(f"c_{f}")) for f in features), F.lit(0.0)))
-    intra = df.join(F.broadcast(centroids), label).agg(F.avg(within).alias("intra"))
+    intra = df.join(centroids, label).agg(F.avg(within).alias("intra"))
     return inter.crossJoin(intra).withColumn("score", F.when(F.col("intra") > 0, F.col("inter") / F.col("intra")).otherwise(0.0))
 
 
@@ -65,6 +65,66 @@ def node_regression(grid: DataFrame) -> DataFrame:
     return grid.sparkSession.createDataFrame([tuple(float(b) for b in beta)], "intercept double, min_split double, min_leaf double, max_depth double")
 
 
+def node_effects(grid: DataFrame) -> DataFrame:
+    """Coefficients from the first and last level of each setting alone: intercept, min_split, min_leaf, accuracy.
+
+    An effect is the difference of the mean node counts at the last and first
+    level over the levels' distance; accuracy is 100 less the error's share of
+    all nodes in per cent, cut to a whole number.
+    """
+    valid = grid.where("min_split > 0 and min_leaf > 0 and max_depth > 0 and max_nodes > 0")
+    ends = valid.agg(F.min("min_split").alias("s0"), F.max("min_split").alias("s1"), F.min("min_leaf").alias("l0"), F.max("min_leaf").alias("l1"), F.avg("max_nodes").alias("mean"))
+    rows = valid.crossJoin(ends)  # one row of ends
+    at = lambda c, level: F.avg(F.when(F.col(c) == F.col(level), F.col("max_nodes")))
+    one = rows.groupBy("s0", "s1", "l0", "l1", "mean").agg(at("min_split", "s0").alias("a0"), at("min_split", "s1").alias("a1"), at("min_leaf", "l0").alias("b0"), at("min_leaf", "l1").alias("b1"))
+    effect = lambda hi, lo, y, x: F.when(F.col(hi) > F.col(lo), (F.col(y) - F.col(x)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0))).otherwise(0.0)
+    one = one.withColumns({"split": effect("s1", "s0", "a1", "a0"), "leaf": effect("l1", "l0", "b1", "b0")})
+    one = one.select((F.col("mean") - F.col("split") * F.col("s0") - F.col("leaf") * F.col("l0")).alias("intercept"), "split", "leaf")
+    guess = F.greatest(F.col("intercept") + F.col("split") * F.col("min_split") + F.col("leaf") * F.col("min_leaf"), F.lit(10.0))
+    error = valid.crossJoin(one).agg((F.sum(F.abs(guess - F.col("max_nodes"))) / F.sum("max_nodes") * 100).alias("mape"))
+    return one.crossJoin(error).select("intercept", F.col("split").alias("min_split"), F.col("leaf").alias("min_leaf"), F.floor(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - F.col("mape")))).cast("int").alias("accuracy"))
+
+
+def manual_estimate(min_split: Column, min_leaf: Column, max_depth: Column, rows: Column, features: Column, labels: Column) -> Column:
+    """Nodes of a tree by rule of thumb, from its settings and the size of the data."""
+    by_rows = F.when(rows > 100, F.least(F.lit(2.5), 1 + 0.5 * F.log2(rows / 100))).otherwise(1.0)
+    by_features = F.when(features > 10, F.least(F.lit(2.0), 1 + 0.3 * F.log2(features / 10))).otherwise(1.0)
+    by_labels = F.when(labels > 2, F.least(F.lit(1.5), 0.8 + 0.2 * labels / 10)).otherwise(1.0)
+    base = 120 - min_split * 10 + 60 / F.greatest(F.lit(1), min_leaf) + F.least(F.lit(250), max_depth) / 50 * 15
+    return F.when(min_split == 0, 100.0).otherwise(F.greatest(F.lit(10.0), base * by_rows * by_features * by_labels))
+
+
+def save_node_predictor(spark, path: str, coefficients: Sequence[float], rows: int) -> None:
+    spark.createDataFrame([(*map(float, coefficients), rows)], "intercept double, min_split double, min_leaf double, max_depth double, rows long").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_node_predictor(spark, path: str) -> tuple[tuple[float, ...], int]:
+    r = spark.read.schema("intercept double, min_split double, min_leaf double, max_depth double, rows long").json(path).first()
+    return tuple(r[:4]), r["rows"]
+
+
+def node_estimate(coefficients: Sequence[float], fitted_rows: int, min_split: Column, min_leaf: Column, max_depth: Column, rows: Column, features: Column, labels: Column) -> Column:
+    """The fitted plane, at least 10, scaled by the change in rows; the rule of thumb where that change is too large."""
+    b = coefficients
+    plane = F.greatest(F.lit(10.0), F.lit(b[0]) + b[1] * min_split + b[2] * min_leaf + b[3] * max_depth)
+    return guarded_estimate(plane, manual_estimate(min_split, min_leaf, max_depth, rows, features, labels), rows, F.lit(fitted_rows))
+
+
+def memory_log(lines: DataFrame, line: str = "value") -> DataFrame:
+    """seconds, free_heap, largest_block, free_disk, event of a memory log; the header and torn lines are left out."""
+    from quantgrove.sources.csv import cells
+
+    c = cells(F.col(line))
+    rows = lines.select(c.alias("c")).where(F.size("c") == 5)
+    number = lambda i, kind: F.element_at("c", i).try_cast(kind)
+    return rows.select(number(1, "double").alias("seconds"), number(2, "long").alias("free_heap"), number(3, "long").alias("largest_block"), number(4, "long").alias("free_disk"), F.element_at("c", 5).alias("event")).where("seconds is not null")
+
+
+def memory_by_event(log: DataFrame) -> DataFrame:
+    """event, n, least heap, most fragmentation, first and last second."""
+    return log.groupBy("event").agg(F.count("*").alias("n"), F.min("free_heap").alias("least_heap"), F.max(1 - F.col("largest_block") / F.nullif(F.col("free_heap"), F.lit(0))).alias("most_fragmented"), F.min("seconds").alias("first"), F.max("seconds").alias("last"))
+
+
 def guarded_estimate(predicted: Column, manual: Column, rows: Column, fitted_rows: Column) -> Column:
     """The regression's estimate scaled by the change in rows, or the manual one where that change is too large."""
     drift = rows / fitted_rows

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,44 +108,32 @@ def histogram(rows: DataFrame, bins: Sequence[str], keys: Sequence[str], label:
 
 def split_gains(hist: DataFrame, keys: Sequence[str], groups: int, criterion: str = "gini") -> DataFrame:
     """keys, feature, at_most, gain, n_left, n_right of every possible threshold, from a histogram."""
-    labels = hist.select("label").distinct()
-    cells = hist.select(*keys, "feature").distinct().crossJoin(labels).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    full = cells.join(hist, [*keys, "feature", "bin", "label"], "left").fillna(0.0, ["w"])
-    run = Window.partitionBy(*keys, "feature", "label").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys, "feature", "label")
-    sided = full.withColumns({"left": F.sum("w").over(run), "all": F.sum("w").over(whole)})
-    table = sided.groupBy(*keys, "feature", F.col("bin").alias("at_most")).agg(F.collect_list("left").alias("ls"), F.collect_list(F.col("all") - F.col("left")).alias("rs"), F.collect_list("all").alias("al"), F.sum("left").alias("n_left"), F.sum(F.col("all") - F.col("left")).alias("n_right"))
-    table = table.where((F.col("at_most") < groups - 1) & (F.col("n_left") > 0) & (F.col("n_right") > 0))
-    n = F.col("n_left") + F.col("n_right")
-    gain = impurity(F.col("al"), n, criterion) - F.col("n_left") / n * impurity(F.col("ls"), F.col("n_left"), criterion) - F.col("n_right") / n * impurity(F.col("rs"), F.col("n_right"), criterion)
+    # Cells of a threshold are filled in by its own array: a row per (keys, feature, label) holds the weights by bin.
+    by_label = hist.groupBy(*keys, "feature", "label").agg(F.map_from_entries(F.collect_list(F.struct("bin", "w"))).alias("m"))
+    sides = by_label.select(*keys, "feature", "label", F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("w"))
+    each = sides.select(*keys, "feature", "label", F.posexplode(F.slice("w", 1, groups - 1)).alias("at_most", "own"), "w")
+    sided = each.select(*keys, "feature", "at_most", "label", F.aggregate(F.slice("w", F.lit(1), F.col("at_most") + 1), F.lit(0.0), lambda a, x: a + x).alias("left"), F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("all"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("label", "left", "all")))  # a fixed order of labels, so that sums are the same in every run
+    table = sided.groupBy(*keys, "feature", "at_most").agg(sorted_.alias("c"), F.sum("left").alias("n_left"), F.sum(F.col("all") - F.col("left")).alias("n_right"))
+    table = table.where((F.col("n_left") > 0) & (F.col("n_right") > 0))
+    n, ls, al = F.col("n_left") + F.col("n_right"), F.col("c.left"), F.col("c.all")
+    rs = F.transform("c", lambda x: x["all"] - x["left"])
+    gain = impurity(al, n, criterion) - F.col("n_left") / n * impurity(ls, F.col("n_left"), criterion) - F.col("n_right") / n * impurity(rs, F.col("n_right"), criterion)
     return table.select(*keys, "feature", "at_most", gain.alias("gain"), "n_left", "n_right")
 
 
-def _choose(cells: dict, labels: int, features: Sequence[int], groups: int, o: TreeOptions):
-    """Best (gain, feature, at_most, left, right) of a node's cells {(feature, bin): [w by label]}; the first best stays."""
-
-    def imp(c: list[float]) -> float:
-        n = sum(c)
-        if n <= 0:
-            return 0.0
-        if o.criterion == "entropy":
-            return -sum(x / n * math.log2(x / n) for x in c if x > 0)
-        return 1 - sum((x / n) ** 2 for x in c)
-
-    best = None
-    for f in features:
-        total = [sum(cells.get((f, b), [0.0] * labels)[k] for b in range(groups)) for k in range(labels)]
-        left = [0.0] * labels
-        for b in range(groups - 1):
-            left = [x + y for x, y in zip(left, cells.get((f, b), [0.0] * labels))]
-            right = [t - x for t, x in zip(total, left)]
-            nl, nr = sum(left), sum(right)
-            if nl <= 0 or nr <= 0:
-                continue
-            gain = imp(total) - (nl * imp(left) + nr * imp(right)) / (nl + nr)
-            if best is None or gain > best[0] + 1e-12:
-                best = (gain, f, b, nl, nr)
-    return best
+def best_splits(gains: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The best threshold of each node: the largest gain (equal within 1e-12), then the first feature, then the lowest bin."""
+    order = F.struct(F.round("gain", 12).alias("g"), (-F.col("feature")).alias("f"), (-F.col("at_most")).alias("b"))
+    best = F.max(F.struct(order.alias("o"), F.struct("feature", "at_most", "gain", "n_left", "n_right").alias("s"))).alias("best")
+    return gains.groupBy(*keys).agg(best).select(*keys, "best.s.*")
+
+
+def majorities(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n, most, label of each node: its weight, the largest class's, and the lowest label that has it."""
+    one = hist.where("feature = 0").groupBy(*keys, "label").agg(F.sum("w").alias("w"))
+    top = F.max(F.struct("w", (-F.col("label")).alias("l")))
+    return one.groupBy(*keys).agg(F.sum("w").alias("n"), top.alias("t")).select(*keys, "n", F.col("t.w").alias("most"), (-F.col("t.l")).alias("label"))
 
 
 def gain_floor(n: float, o: TreeOptions) -> float:
@@ -153,41 +141,66 @@ def gain_floor(n: float, o: TreeOptions) -> float:
     return max(1e-4, o.threshold / (1 + math.log2(n + 1))) if n > o.min_split else o.threshold
 
 
-def grow(rows: DataFrame, bins: Sequence[str], labels: int, groups: int, options: TreeOptions = TreeOptions(), label: str = "label") -> Forest:
-    """Grow all trees together. ``rows`` holds tree_id, weight, label and bins."""
+def gain_floor_column(n: Column, threshold: float, min_split: int) -> Column:
+    return F.when(n > min_split, F.greatest(F.lit(1e-4), threshold / (1 + F.log2(n + 1)))).otherwise(F.lit(threshold))
+
+
+#: Levels that are grown between two writes of the rows' nodes, where a folder is given.
+WRITE_EVERY = 4
+
+
+def grow(rows: DataFrame, bins: Sequence[str], labels: int, groups: int, options: TreeOptions = TreeOptions(), label: str = "label", folder: str | None = None) -> Forest:
+    """Grow all trees together. ``rows`` holds tree_id, weight, label and bins.
+
+    A level is one aggregate over the rows; gains, the best split and the
+    majority of each node are worked out from it, and only one row per open
+    node reaches the driver. With ``folder`` (on shared storage) the rows'
+    nodes are written every few levels, so deep trees don't recompute them.
+    """
+    from quantgrove.operators.sampling import feature_subset
+
     o, nodes, base = options, [], rows.withColumn("node", F.lit(0).cast("long"))
+    spark = rows.sparkSession
     k = max(1, int(math.sqrt(len(bins)))) if o.trees > 1 else len(bins)
     count = dict.fromkeys(range(o.trees), 1)
+    keys = ["tree_id", "node"]
     for depth in range(o.max_depth):
-        hist = histogram(base, bins, ["tree_id", "node"], label, "weight").collect()  # by the model's shape
-        if not hist:
+        hist = histogram(base, bins, keys, label, "weight").persist()  # by the model's shape; a lost block is worked out anew
+        tops = {(r["tree_id"], r["node"]): r for r in majorities(hist, keys).collect()}
+        if not tops:
+            hist.unpersist()
             break
-        by: dict[tuple[int, int], dict] = {}
-        for r in hist:
-            by.setdefault((r["tree_id"], r["node"]), {}).setdefault((r["feature"], r["bin"]), [0.0] * labels)[r["label"]] = r["w"]
+        best = {}
+        if depth < o.max_depth - 1:
+            seen = hist
+            if k < len(bins):
+                open_ = spark.createDataFrame(sorted(tops), "tree_id int, node long")
+                seen = hist.join(feature_subset(len(bins), open_, k, o.seed), [*keys, "feature"])
+            best = {(r["tree_id"], r["node"]): r for r in best_splits(split_gains(seen, keys, groups, o.criterion), keys).collect()}
+        hist.unpersist()
         splits = []
-        for (t, i), cells in sorted(by.items()):
-            counts = [sum(c[j] for (f, _), c in cells.items() if f == 0) for j in range(labels)]
-            n, major = sum(counts), max(range(labels), key=lambda j: (counts[j], -j))
-            chosen = sorted(range(len(bins)), key=lambda f: (hash((o.seed, t, i, f)) & 0xFFFFFFFF, f))[:k] if k < len(bins) else range(len(bins))
-            best = None
-            if max(counts) < n and n >= o.min_split and depth < o.max_depth - 1 and count[t] + 2 <= o.max_nodes:
-                best = _choose(cells, labels, sorted(chosen), groups, o)
-            if best is None or best[0] <= gain_floor(n, o) or min(best[3], best[4]) < o.min_leaf:
-                nodes.append(Node(t, i, depth, major))
+        for (t, i), top in sorted(tops.items()):
+            n, found = top["n"], best.get((t, i))
+            cut = found is not None and top["most"] < n and n >= o.min_split and count[t] + 2 <= o.max_nodes
+            if not cut or found["gain"] <= gain_floor(n, o) or min(found["n_left"], found["n_right"]) < o.min_leaf:
+                nodes.append(Node(t, i, depth, top["label"]))
             else:
-                nodes.append(Node(t, i, depth, major, best[1], best[2]))
+                nodes.append(Node(t, i, depth, top["label"], found["feature"], found["at_most"]))
                 count[t] += 2
-                splits.append((t, i, best[1], best[2]))
+                splits.append((t, i, found["feature"], found["at_most"]))
         if not splits:
             break
-        table = rows.sparkSession.createDataFrame(splits, "tree_id int, node long, feature int, at_most int")
+        table = spark.createDataFrame(splits, "tree_id int, node long, feature int, at_most int")
         value = F.element_at(F.array(*[F.col(b).cast("int") for b in bins]), F.col("feature") + 1)
-        base = base.join(F.broadcast(table), ["tree_id", "node"]).withColumn("node", F.when(value <= F.col("at_most"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)).drop("feature", "at_most")
+        # A level's splits: trees x nodes of a level, bounded by the options.
+        base = base.join(F.broadcast(table), keys).withColumn("node", F.when(value <= F.col("at_most"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)).drop("feature", "at_most")
+        if folder and depth % WRITE_EVERY == WRITE_EVERY - 1:
+            base.write.mode("overwrite").parquet(f"{folder}/level-{depth}")
+            base = spark.read.parquet(f"{folder}/level-{depth}")
     return Forest(nodes, o)
 
 
-def train_forest(df: DataFrame, row_id: str, bins: Sequence[str], labels: int, groups: int, options: TreeOptions = TreeOptions()) -> Forest:
+def train_forest(df: DataFrame, row_id: str, bins: Sequence[str], labels: int, groups: int, options: TreeOptions = TreeOptions(), folder: str | None = None) -> Forest:
     """Bagged forest (Poisson weights from the row's id), or one tree on all rows."""
     from quantgrove.operators.sampling import poisson_bags
 
@@ -195,7 +208,7 @@ def train_forest(df: DataFrame, row_id: str, bins: Sequence[str], labels: int, g
         rows = df.withColumn("weight", F.lit(1)).withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(options.trees - 1))))
     else:
         rows = poisson_bags(df, row_id, options.trees, options.seed)
-    return grow(rows.select(row_id, "tree_id", "weight", "label", *bins), bins, labels, groups, options)
+    return grow(rows.select(row_id, "tree_id", "weight", "label", *bins), bins, labels, groups, options, folder=folder)
 
 
 def out_of_bag_votes(forest: Forest, df: DataFrame, row_id: str, bins: Sequence[str], min_share: float = 0.15) -> DataFrame:
@@ -211,6 +224,23 @@ def out_of_bag_votes(forest: Forest, df: DataFrame, row_id: str, bins: Sequence[
     return voted.withColumn("__b", best).select(row_id, F.col("label").alias("actual"), (-F.col("__b.k")).alias("predicted"), (F.col("__b.c") / F.size("v")).alias("consensus"))
 
 
+def validation_votes(forest: Forest, df: DataFrame, bins: Sequence[str], labels: int) -> DataFrame:
+    """actual, predicted, consensus of rows that no tree has seen: all trees vote."""
+    return forest.predict(df, bins, labels).select(F.col("label").alias("actual"), "predicted", "consensus")
+
+
+def cross_validate(df: DataFrame, row_id: str, bins: Sequence[str], labels: int, groups: int, options: TreeOptions = TreeOptions(), k: int = 4) -> DataFrame:
+    """fold, accuracy, n: each fold is judged by a forest that was trained on the others."""
+    from quantgrove.operators.sampling import folds
+
+    dealt, out = folds(df, row_id, k, options.seed).persist(), None
+    for i in range(k):
+        forest = train_forest(dealt.where(F.col("fold") != i), row_id, bins, labels, groups, options)
+        one = validation_votes(forest, dealt.where(F.col("fold") == i), bins, labels).agg(F.lit(i).alias("fold"), F.avg((F.col("actual") == F.col("predicted")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def grid_search(df: DataFrame, row_id: str, bins: Sequence[str], labels: int, groups: int, grid: Sequence[TreeOptions]) -> tuple[TreeOptions, float]:
     """The first strictly best of the candidates by out-of-bag accuracy (validation for a single tree is the caller's)."""
     best = (grid[0], -1.0)
@@ -226,3 +256,133 @@ def shape(forest: Forest, spark) -> DataFrame:
     """Nodes, leaves and depth of every tree."""
     rows = [(n.tree_id, n.depth, n.is_leaf) for n in forest.nodes]
     return spark.createDataFrame(rows, "tree_id int, depth int, leaf boolean").groupBy("tree_id").agg(F.count("*").alias("nodes"), F.count_if("leaf").alias("leaves"), F.max("depth").alias("depth"))
+
+
+def forest_shape(forest: Forest, spark) -> DataFrame:
+    """One row: nodes of all trees, of the largest, least and most depth."""
+    return shape(forest, spark).agg(F.sum("nodes").alias("total_nodes"), F.max("nodes").alias("max_nodes"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"))
+
+
+# --- what leaves say ---------------------------------------------------------
+
+
+def leaf_sql(nodes: dict[int, Node], bins: Sequence[str]) -> str:
+    """Number of the leaf that a row falls into, as nested CASE expressions."""
+
+    def walk(i: int) -> str:
+        n = nodes[i]
+        if n.is_leaf or 2 * i + 1 not in nodes:
+            return f"{i}L"
+        return f"CASE WHEN {bins[n.feature]} <= {n.at_most} THEN {walk(2 * i + 1)} ELSE {walk(2 * i + 2)} END"
+
+    return walk(0)
+
+
+def leaves(forest: Forest, df: DataFrame, bins: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """keep, tree_id, leaf: a row for each tree that a row of the table goes down."""
+    each = ", ".join(f"named_struct('tree_id', {t}, 'leaf', {leaf_sql(nodes, bins)})" for t, nodes in sorted(forest.trees().items()))
+    return df.select(*keep, F.explode(F.expr(f"array({each})")).alias("x")).select(*keep, "x.tree_id", "x.leaf")
+
+
+def leaf_counts(forest: Forest, df: DataFrame, bins: Sequence[str], label: str = "label") -> DataFrame:
+    """tree_id, leaf, label, n of labelled rows: partial sums, then as many rows as leaves times labels."""
+    return leaves(forest, df, bins, [label]).groupBy("tree_id", "leaf", F.col(label).alias("label")).agg(F.count("*").alias("n"))
+
+
+def adapt_leaves(forest: Forest, counts: DataFrame) -> Forest:
+    """Leaves take the majority of the labels that came to them, their own label counted once; the lowest wins ties."""
+    seen: dict[tuple[int, int], dict[int, int]] = {}
+    for r in counts.collect():  # by the model's shape
+        seen.setdefault((r["tree_id"], r["leaf"]), {})[r["label"]] = r["n"]
+    nodes = []
+    for n in forest.nodes:
+        got = dict(seen.get((n.tree_id, n.node), {}))
+        if got and n.is_leaf:
+            got[n.label] = got.get(n.label, 0) + 1
+            n = replace(n, label=max(got, key=lambda k: (got[k], -k)))
+        nodes.append(n)
+    return Forest(nodes, forest.options)
+
+
+def tree_scores(forest: Forest, df: DataFrame, order: str, bins: Sequence[str], label: str = "label", fade: float = 0.999, start: float = 1.0) -> DataFrame:
+    """tree_id, score after the rows in order: s <- s fade + right (1 - fade), in closed form.
+
+    Rows are numbered from the newest once; a row of age a weighs fade^a for
+    every tree, so the sum needs no order.
+    """
+    from quantgrove.operators.feedback import numbered
+
+    aged = numbered(df.select(order, F.col(label).alias("label"), *bins), [order], "__place")
+    n = df.count()
+    votes = ", ".join(f"named_struct('tree_id', {t}, 'vote', {forest.tree_sql(t, bins)})" for t in sorted(forest.trees()))
+    each = aged.select("label", (n - 1 - F.col("__place")).alias("age"), F.explode(F.expr(f"array({votes})")).alias("x"))
+    hit = (F.col("x.vote") == F.col("label")).cast("double") * (1 - fade) * F.pow(F.lit(fade), F.col("age"))
+    return each.groupBy("x.tree_id").agg((F.sum(hit) + start * fade**n).alias("score"))
+
+
+def worst_tree(scores: DataFrame, behind: float = 0.15, below: float = 0.7) -> DataFrame:
+    """tree_id, score, average of the tree with the lowest score, where it is far behind the average and poor; else no row."""
+    one = scores.agg(F.min(F.struct("score", "tree_id")).alias("w"), F.avg("score").alias("average"))
+    return one.where((F.col("w.score") < F.col("average") - behind) & (F.col("w.score") < below)).select("w.tree_id", "w.score", "average")
+
+
+def replace_worst(forest: Forest, scores: dict[int, float], buffer: DataFrame, order: str, bins: Sequence[str], labels: int, groups: int, least: int = 500, share: float = 0.7) -> tuple[Forest, dict[int, float]]:
+    """Replace a tree that fell behind by one grown on the newest rows, if that does better on the last part of them.
+
+    The candidate learns from the older ``share`` of the buffer and both are
+    judged on the rest; a better one is grown again on all of it and starts at
+    the average score. Otherwise the old tree's score moves half way there.
+    """
+    from quantgrove.operators.feedback import numbered
+
+    spark = buffer.sparkSession
+    found = worst_tree(spark.createDataFrame(sorted(scores.items()), "tree_id int, score double")).collect()
+    n = buffer.count()
+    if not found or n < least:
+        return forest, scores
+    t, average = found[0]["tree_id"], found[0]["average"]
+    rows = numbered(buffer.select(order, "label", *bins), [order], "__place").withColumn("tree_id", F.lit(t)).withColumn("weight", F.lit(1))
+    cut, one = int(n * share), replace(forest.options, trees=1, bootstrap=False)
+
+    def grown(df: DataFrame) -> Forest:
+        made = grow(df.withColumn("tree_id", F.lit(0)), bins, labels, groups, one)
+        return Forest([replace(x, tree_id=t) for x in made.nodes], forest.options)
+
+    new, old = grown(rows.where(F.col("__place") < cut)), Forest([x for x in forest.nodes if x.tree_id == t], forest.options)
+    right = [F.avg((F.expr(m.tree_sql(t, bins)) == F.col("label")).cast("double")) for m in (old, new)]
+    before, after = rows.where(F.col("__place") >= cut).agg(*[r.alias(f"r{i}") for i, r in enumerate(right)]).first()
+    if after > before:
+        kept = [x for x in forest.nodes if x.tree_id != t]
+        return Forest(kept + grown(rows).nodes, forest.options), scores | {t: average}
+    return forest, scores | {t: (scores[t] + average) / 2}
+
+
+# --- compact form ------------------------------------------------------------
+
+
+def compact(forest: Forest, spark) -> DataFrame:
+    """tree_id, node, kind, at, rank, left, right, label, feature, at_most: nodes by kind, numbered apart.
+
+    A branch is ``internal`` where its children are of one kind and ``mixed``
+    otherwise. ``at`` numbers leaves and branches, each in order of the nodes;
+    ``rank`` is how many mixed branches come before it; children are given by
+    their own numbers.
+    """
+    rows = [(n.tree_id, n.node, n.label, n.feature, n.at_most, n.is_leaf) for n in forest.nodes]
+    df = spark.createDataFrame(rows, "tree_id int, node long, label int, feature int, at_most int, leaf boolean")
+    number = F.row_number().over(Window.partitionBy("tree_id", "leaf").orderBy("node")) - 1  # within one tree
+    df = df.withColumn("at", number)
+    child = df.select("tree_id", F.col("node").alias("c"), F.col("at").alias("c_at"), F.col("leaf").alias("c_leaf"))
+    side = lambda d, k: child.select("tree_id", ((F.col("c") - k) / 2).cast("long").alias("node"), F.col("c_at").alias(d), F.col("c_leaf").alias(f"{d}_leaf")).where((F.col("c") - k) % 2 == 0).where(F.col("c") > 0)
+    both = df.join(side("left", 1), ["tree_id", "node"], "left").join(side("right", 2), ["tree_id", "node"], "left")
+    kind = F.when(F.col("leaf"), "leaf").when(F.col("left_leaf") == F.col("right_leaf"), "internal").otherwise("mixed")
+    before = Window.partitionBy("tree_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("kind", kind).withColumn("rank", F.coalesce(F.count_if(F.col("kind") == "mixed").over(before), F.lit(0)))
+    return out.select("tree_id", "node", "kind", "at", "rank", "left", "right", "label", "feature", "at_most")
+
+
+def layout(forest: Forest, features: int, labels: int, groups: int) -> dict[str, int]:
+    """Bits of each field of the packed form, from the largest number that it holds."""
+    width = lambda top: max(1, int(top).bit_length())
+    per = [len(t) for t in forest.trees().values()] or [1]
+    return {"feature": width(features - 1), "label": width(labels - 1), "threshold": width(groups - 1), "child": width(max(per) - 1)}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from quantgrove.functions.arithmetic import bits_required, draw_sql, pack_bits, uniform_sql, unpack_bits
 from quantgrove.operators import boosting, drift, feedback, idset, images, metrics, quantizer, reports, sampling, trees
 from quantgrove.sources import csv
+from quantgrove.sources.shared import scratch, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +82,6 @@ EDGES = "SELECT " + ", ".join(f"quantile_cont(c{i}, [0.25, 0.5, 0.75]) AS e{i}"
 BINS = f"c AS ({CLIP_ALL}), e AS ({EDGES}), b AS (SELECT row_id, label, " + ", ".join(f"cast((c{i} >= e{i}[1])::int + (c{i} >= e{i}[2])::int + (c{i} >= e{i}[3])::int AS int) AS bin_{i}" for i in range(4)) + " FROM c, e)"
 
 
-@cache
 def _quantizer(spark: SparkSession, sf_dir: str) -> quantizer.Quantizer:
     return quantizer.fit(table(spark, sf_dir, "lineitem"), FEATURES, bits=2)
 
@@ -168,13 +167,12 @@ def fifo_evicted_labels(spark, sf_dir):
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000) GROUP BY 1")
 def load_id_set(spark, sf_dir):
     wanted = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey").join(wanted, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return feedback.by_ids(table(spark, sf_dir, "lineitem").select("l_orderkey"), wanted, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 3000 AND 3999")
 def load_chunk(spark, sf_dir):
-    k, size = 3, 1000
-    return table(spark, sf_dir, "orders").where(F.col("o_orderkey").between(k * size, (k + 1) * size - 1)).select("o_orderkey", "o_custkey")
+    return feedback.chunk(table(spark, sf_dir, "orders"), "o_orderkey", 3, 1000).select("o_orderkey", "o_custkey")
 
 
 # --- bits ----------------------------------------------------------------------
@@ -199,7 +197,7 @@ def bits_required_ids(spark, sf_dir):
 
 @query(f"WITH {BINS} SELECT count(*) AS rows, count(*) FILTER (bin_0 <= 2 AND bin_1 <= 2 AND bin_2 <= 2 AND bin_3 <= 2) AS valid FROM b")
 def row_validity(spark, sf_dir):
-    return binned(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_if(F.forall(F.array(*[f"bin_{i}" for i in range(4)]), lambda b: b.between(0, 2))).alias("valid"))
+    return binned(spark, sf_dir).agg(F.count("*").alias("rows"), F.count_if(metrics.valid_rows(F.array(*[f"bin_{i}" for i in range(4)]), 2)).alias("valid"))
 
 
 # --- sampling --------------------------------------------------------------------
@@ -215,9 +213,15 @@ def stratified_split(spark, sf_dir):
     return sampling.stratified_split(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "quality").select("doc_id", "quality", "part")
 
 
-@query(f"SELECT CASE WHEN {uniform_sql('o_orderkey')} < 0.7 THEN 'train' WHEN {uniform_sql('o_orderkey')} < 0.85 THEN 'valid' ELSE 'test' END AS part, count(*) AS n, cast(sum(o_orderkey) AS BIGINT) AS ids FROM orders GROUP BY 1")
+def placed(name: str, key: str) -> str:
+    """SQL of a table's rows in order of their draw: ``pos`` from 1, and their number n."""
+    d = draw_sql(key)
+    return f"SELECT *, row_number() OVER (ORDER BY {d} % 1024, {d}, {key}) AS pos, count(*) OVER () AS n FROM {name}"
+
+
+@query(f"SELECT CASE WHEN pos <= floor(n * 0.7e0) THEN 'train' WHEN pos <= floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'test' ELSE 'valid' END AS part, count(*) AS n, cast(sum(o_orderkey) AS BIGINT) AS ids FROM ({placed('orders', 'o_orderkey')}) GROUP BY 1")
 def random_split(spark, sf_dir):
-    return sampling.random_split(table(spark, sf_dir, "orders"), "o_orderkey").groupBy("part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
+    return sampling.random_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").groupBy("part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
 
 
 BAGS = f"bags AS (SELECT cast(id % 5 AS int) AS tree_id, cast(floor({uniform_sql('id')} * n) AS BIGINT) AS row, count(*) AS weight FROM (SELECT unnest(range(5 * n)) AS id, n FROM (SELECT count(*) AS n FROM embeddings)) GROUP BY ALL)"
@@ -234,12 +238,15 @@ def oob_pairs(spark, sf_dir):
     return sampling.out_of_bag(rows, sampling.bootstrap(rows.count(), 5, spark), 5)
 
 
-@query(f"SELECT cast({DRAW} % 4 AS int) AS fold, quality, count(*) AS n FROM labels GROUP BY ALL")
+FOLDED = f"f AS (SELECT doc_id, quality, cast(least(floor((pos - 1) / greatest(floor(n / 4), 1)), 3) AS int) AS fold FROM ({placed('labels', 'doc_id')}))"
+
+
+@query(f"WITH {FOLDED} SELECT fold, quality, count(*) AS n FROM f GROUP BY ALL")
 def kfold_counts(spark, sf_dir):
     return sampling.folds(table(spark, sf_dir, "labels"), "doc_id").groupBy("fold", "quality").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id FROM labels WHERE {DRAW} % 4 <> 1")
+@query(f"WITH {FOLDED} SELECT doc_id FROM f WHERE fold <> 1")
 def kfold_complement(spark, sf_dir):
     df = sampling.folds(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
     return df.select("doc_id").join(df.where("fold = 1").select("doc_id"), "doc_id", "left_anti")
@@ -338,14 +345,10 @@ c AS ({" UNION ALL ".join(f"SELECT {i} AS feature, t, sum(g) FILTER (bin_{i} <=
 SELECT cast(feature AS int) AS feature, cast(t AS int) AS at_most, round(0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)), 4) AS gain FROM c
 """.replace("c AS (SELECT 0 AS", "cc AS (SELECT 0 AS").replace("FROM c\n", "FROM cc\n"))
 def boost_root_gain(spark, sf_dir):
-    from pyspark.sql import Window
-
     df = binned(spark, sf_dir).withColumn("label", F.when(F.col("label") == "A", 0).when(F.col("label") == "N", 1).otherwise(2))
     g, h = boosting.gradients([F.lit(0.0)] * 3, F.col("label"), 0)
-    cells = boosting.histogram(df, [f"bin_{i}" for i in range(4)], g, h, F.lit(0))
-    run, whole = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("feature")
-    t = cells.select("feature", "bin", F.sum("g").over(run).alias("gl"), F.sum("h").over(run).alias("hl"), F.sum("g").over(whole).alias("g"), F.sum("h").over(whole).alias("h")).where("bin < 3")
-    return t.select("feature", F.col("bin").alias("at_most"), F.round(boosting.gain(F.col("gl"), F.col("hl"), F.col("g"), F.col("h"), 1.0, 0.0), 4).alias("gain"))
+    gains = boosting.split_gains(boosting.histogram(df, [f"bin_{i}" for i in range(4)], g, h, F.lit(0)), 4)
+    return gains.select("feature", "at_most", F.round("gain", 4).alias("gain"))
 
 
 def vectors(spark, sf_dir) -> tuple[DataFrame, list[str], int]:
@@ -353,8 +356,8 @@ def vectors(spark, sf_dir) -> tuple[DataFrame, list[str], int]:
     df = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
     q = quantizer.fit(df, [f"f{i}" for i in range(64)], bits=2)
     names = [f"bin_{i}" for i in range(64)]
-    # Every level of every tree reads the bins again; a lost block is worked out anew from the source.
-    return quantizer.bins(q, df).select("vec_id", "label", *names).persist(), names, 10
+    # Every level of every tree reads the bins again.
+    return written(quantizer.bins(q, df).select("vec_id", "label", *names), "bins"), names, 10
 
 
 @query()
@@ -552,13 +555,10 @@ def fading_scores(spark, sf_dir):
     return drift.fading_scores(df, ["user_id"], "event_id", "c").withColumn("score", F.round("score", 6))
 
 
-@query("WITH g AS (SELECT event_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events) SELECT least(coalesce(floor(floor(gap) / 3600), 0), 50)::BIGINT AS skipped, count(*) AS n FROM g GROUP BY 1")
+@query("WITH g AS (SELECT event_id, floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1000000) AS gap FROM events) SELECT coalesce(floor(gap / 3600), 0)::BIGINT AS skipped, count(*) AS n FROM g GROUP BY 1")
 def feedback_timeouts(spark, sf_dir):
-    df = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    from pyspark.sql import Window
-
-    gap = F.floor(F.unix_micros("ts") / 1e6 - F.unix_micros(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts"))) / 1e6)
-    return df.select(F.least(F.coalesce(F.floor(gap / 3600), F.lit(0)), F.lit(50)).cast("long").alias("skipped")).groupBy("skipped").agg(F.count("*").alias("n"))
+    df = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return feedback.timed_out(df, "user_id", "ts", 3600).groupBy("skipped").agg(F.count("*").alias("n"))
 
 
 # --- images ---------------------------------------------------------------------------------------
@@ -571,22 +571,38 @@ def _long(spark, sf_dir, f, digits: int = 5) -> DataFrame:
     return df.select("vec_id", F.posexplode("a").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("v", digits).alias("v"))
 
 
-@query(f"WITH {PIXELS} SELECT vec_id, ty * 3 + tx AS i, round(v, 5) AS v FROM p JOIN (SELECT unnest(range(3)) AS ty) ON y = ty * 8 // 3 JOIN (SELECT unnest(range(3)) AS tx) ON x = tx * 8 // 3")
+#: Embeddings as 8-bit pictures of 8 x 8.
+LEVEL = "cast(least(greatest(floor(({v} + 1) * 127.5e0), 0), 255) as int)"
+GREY = f"q AS (SELECT vec_id, y, x, {LEVEL.format(v='v')} AS g FROM p)"
+
+
+def pictures(spark, sf_dir) -> DataFrame:
+    """vec_id, label, image: 64 grey pixels."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: F.least(F.greatest(F.floor((v.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")).alias("image"))
+
+
+def _pixels(spark, sf_dir, f) -> DataFrame:
+    df = pictures(spark, sf_dir).select("vec_id", f(F.col("image")).alias("a"))
+    return df.select("vec_id", F.posexplode("a").alias("i", "v")).select("vec_id", F.col("i").cast("long").alias("i"), F.col("v").cast("int").alias("v"))
+
+
+@query(f"WITH {PIXELS}, {GREY} SELECT vec_id, ty * 3 + tx AS i, g AS v FROM q JOIN (SELECT unnest(range(3)) AS ty) ON y = ty * 8 // 3 JOIN (SELECT unnest(range(3)) AS tx) ON x = tx * 8 // 3")
 def resize_nearest(spark, sf_dir):
-    return _long(spark, sf_dir, lambda a: F.transform(images.resize_nearest(a, 8, 8, 3, 3), lambda v: v.cast('double')))
+    return _pixels(spark, sf_dir, lambda a: images.resize_nearest(a, 8, 8, 3, 3))
 
 
-@query(f"WITH {PIXELS} SELECT vec_id, (y // 2) * 4 + x // 2 AS i, round(avg(v), 6) AS v FROM p GROUP BY ALL")
+@query(f"WITH {PIXELS}, {GREY} SELECT vec_id, ty * 4 + tx AS i, cast(sum(g) // count(*) AS int) AS v FROM q JOIN (SELECT unnest(range(4)) AS ty) ON y BETWEEN ty * 2 AND least((ty + 1) * 2, 7) JOIN (SELECT unnest(range(4)) AS tx) ON x BETWEEN tx * 2 AND least((tx + 1) * 2, 7) GROUP BY ALL")
 def resize_area(spark, sf_dir):
-    return _long(spark, sf_dir, lambda a: images.resize_area(a, 8, 8, 4, 4), 6)
+    return _pixels(spark, sf_dir, lambda a: images.resize_area(a, 8, 8, 4, 4))
 
 
-@query("""
-WITH g AS (SELECT ty, tx, ty * 7 / 4.0e0 AS fy, tx * 7 / 4.0e0 AS fx FROM (SELECT unnest(range(5)) AS ty), (SELECT unnest(range(5)) AS tx)), c AS (SELECT *, floor(fy)::int AS y0, floor(fx)::int AS x0, least(floor(fy)::int + 1, 7) AS y1, least(floor(fx)::int + 1, 7) AS x1, fy - floor(fy) AS dy, fx - floor(fx) AS dx FROM g)
-SELECT vec_id, ty * 5 + tx AS i, round(embedding[y0 * 8 + x0 + 1]::double * ((1 - dx) * (1 - dy)) + embedding[y0 * 8 + x1 + 1]::double * (dx * (1 - dy)) + embedding[y1 * 8 + x0 + 1]::double * ((1 - dx) * dy) + embedding[y1 * 8 + x1 + 1]::double * (dx * dy), 9) AS v FROM embeddings, c
+@query(f"""
+WITH {PIXELS}, {GREY}, g AS (SELECT ty, tx, ty * 8 / 5.0e0 AS fy, tx * 8 / 5.0e0 AS fx FROM (SELECT unnest(range(5)) AS ty), (SELECT unnest(range(5)) AS tx)), c AS (SELECT *, floor(fy)::int AS y0, floor(fx)::int AS x0, least(floor(fy)::int + 1, 7) AS y1, least(floor(fx)::int + 1, 7) AS x1, fy - floor(fy) AS dy, fx - floor(fx) AS dx FROM g)
+SELECT a.vec_id, ty * 5 + tx AS i, cast(floor(a.g * ((1 - dx) * (1 - dy)) + b.g * (dx * (1 - dy)) + d.g * ((1 - dx) * dy) + e.g * (dx * dy) + 1e-6) AS int) AS v
+FROM c JOIN q a ON a.y = y0 AND a.x = x0 JOIN q b ON b.vec_id = a.vec_id AND b.y = y0 AND b.x = x1 JOIN q d ON d.vec_id = a.vec_id AND d.y = y1 AND d.x = x0 JOIN q e ON e.vec_id = a.vec_id AND e.y = y1 AND e.x = x1
 """)
 def resize_bilinear(spark, sf_dir):
-    return _long(spark, sf_dir, lambda a: images.resize_bilinear(a, 8, 8, 5, 5), 9)
+    return _pixels(spark, sf_dir, lambda a: images.resize_bilinear(a, 8, 8, 5, 5))
 
 
 HOG = f"""WITH {PIXELS}, d AS (SELECT vec_id, y, x, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) - lag(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS gx, lead(v) OVER (PARTITION BY vec_id, x ORDER BY y) - lag(v) OVER (PARTITION BY vec_id, x ORDER BY y) AS gy FROM p),
@@ -636,7 +652,7 @@ def drift_generator_cake(spark, sf_dir):
     return _stream(spark, "cake")
 
 
-@query(f"WITH {UNIFORMS}, x AS (SELECT idx, p * (pi() / 2) AS a, (u0 - 0.5) * 20 AS x1, (u1 - 0.5) * 20 AS x2 FROM u) SELECT idx, round(x1, 6) AS x1, round(x2, 6) AS x2, cast((floor((x1 * cos(a) - x2 * sin(a)) / 4) + floor((x1 * sin(a) + x2 * cos(a)) / 4) + 100) % 2 AS int) AS label FROM x")
+@query(f"WITH {UNIFORMS}, x AS (SELECT idx, p * (pi() / 2) AS a, (u0 - 0.5) * 20 AS x1, (u1 - 0.5) * 20 AS x2 FROM u) SELECT idx, round(x1, 6) AS x1, round(x2, 6) AS x2, cast((trunc((x1 * cos(a) - x2 * sin(a)) / 5) + trunc((x1 * sin(a) + x2 * cos(a)) / 5) + 100) % 2 AS int) AS label FROM x")
 def drift_generator_chocolate(spark, sf_dir):
     return _stream(spark, "chocolate")
 
@@ -704,17 +720,14 @@ def node_estimate_guard(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, label LIMIT 5")
 def top_classes(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(5)
+    return metrics.top_classes(table(spark, sf_dir, "orders"), "o_orderpriority")
 
 
 # --- streaming -------------------------------------------------------------------------------------------
 
 
 def _run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
-    import tempfile
-    import uuid
-
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/log").trigger(availableNow=True)
     if mode == "complete":  # the file sink only appends: here each batch replaces the rows of the one before
         spark.createDataFrame([], stream.schema).write.parquet(f"{out}/rows")
@@ -733,12 +746,18 @@ def streaming_quantize(spark, sf_dir):
     return _run_stream(got, spark).groupBy("bin_0", "bin_1").agg(F.count("*").alias("n"))
 
 
-@query()
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumns({"ts": F.col("ts").cast("timestamp"), "actual": (F.col("value") >= 50).cast("int"), "predicted": (F.col("user_id") % 2).cast("int")})
+
+
+@query("""
+WITH e AS (SELECT epoch_us(ts) AS u, ((value >= 50) = (user_id % 2 = 1))::int AS hit FROM events), w AS (SELECT (u // 1800000000 - k) * 1800000000 AS s, hit FROM e, (SELECT unnest([0, 1]) AS k))
+SELECT s AS start, round(avg(hit), 6) AS accuracy, count(*) AS n FROM w GROUP BY 1
+""")
 def streaming_windowed_accuracy(spark, sf_dir):
     """The input ends, so every window is written, also those that the watermark has not passed."""
     from quantgrove.streaming import jobs
 
-    path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumns({"ts": F.col("ts").cast("timestamp"), "actual": (F.col("value") >= 50).cast("int"), "predicted": (F.col("user_id") % 2).cast("int")})
-    got = jobs.windowed_accuracy(stream, "ts", "1 hour", "30 minutes", "10 minutes")
-    return _run_stream(got.select(F.col("window.start").alias("start"), "accuracy", "n"), spark, "complete")
+    got = jobs.windowed_accuracy(event_stream(spark, sf_dir), "ts", "1 hour", "30 minutes", "10 minutes")
+    return _run_stream(got.select(F.unix_micros("window.start").alias("start"), F.round("accuracy", 6).alias("accuracy"), "n"), spark, "complete")

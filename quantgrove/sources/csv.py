@@ -34,21 +34,78 @@ def has_header(first: list[str], second: list[str], label: int = 0) -> bool:
     return b >= 0.8 and a < 0.5 and b - a >= 0.3
 
 
+def number(cell: Column) -> Column:
+    """A cell as a number; of "3abc" the leading number counts, anything else that cannot be read is 0.0."""
+    lead = F.regexp_extract(cell, r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)", 0)
+    return F.coalesce(cell.try_cast("double"), lead.try_cast("double"), F.lit(0.0))
+
+
+def without_header(lines: DataFrame, header: str) -> DataFrame:
+    """Lines of files without the first of each file that equals the header; later ones are data.
+
+    Only lines that equal the header are looked at by file and place.
+    """
+    lines = lines.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__mono"))
+    like = F.col("value") == header
+    first = lines.where(like).groupBy("__file").agg(F.min(F.struct("__block", "__mono")).alias("__first"))
+    again = lines.where(like).join(first, "__file").where(F.struct("__block", "__mono") > F.col("__first"))
+    return lines.where(~like).select("value").unionByName(again.select("value"))
+
+
 def read(spark: SparkSession, path: str, label: int = 0, header: bool | None = None, max_features: int = 1023) -> DataFrame:
     """label, f0.. of a file: unreadable cells are 0.0; blank and ragged lines are left out; label -1 is the last column."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    top = [[c.strip() for c in r["value"].split(",")] for r in lines.limit(2).collect()]
+    heads = [r["value"] for r in lines.limit(2).collect()]
+    top = [_split(h) for h in heads]
     if not top:
         raise ValueError(f"{path} has no rows")
     if header is None:
         header = len(top) > 1 and has_header(top[0], top[1], label)
-    n = len(top[0]) - (len(top[0]) > 1 and top[0][-1] == "")
+    n = len(top[0])
     at = label % n
-    rows = keep_well_formed(lines, n).select(cells(F.col("value")).alias("c"))
-    if header:
-        rows = rows.where(F.array_join("c", ",") != ",".join(top[0][:n]))
+    rows = keep_well_formed(without_header(lines, heads[0]) if header else lines, n).select(cells(F.col("value")).alias("c"))
     features = [i for i in range(n) if i != at][:max_features]
-    return rows.select(F.element_at("c", at + 1).alias("label"), *[F.coalesce(F.element_at("c", i + 1).try_cast("double"), F.lit(0.0)).alias(f"f{k}") for k, i in enumerate(features)])
+    return rows.select(F.element_at("c", at + 1).alias("label"), *[number(F.element_at("c", i + 1)).alias(f"f{k}") for k, i in enumerate(features)])
+
+
+def _split(line: str) -> list[str]:
+    c = [x.strip() for x in line.split(",")]
+    return c[:-1] if len(c) > 1 and c[-1] == "" else c
+
+
+def read_bins(spark: SparkSession, path: str, features: int, bits: int | None = None, most: int | None = None) -> DataFrame:
+    """label, bin_0.. of a file of whole numbers without header: lines of another width or with other cells are left out.
+
+    With ``bits`` a line with a bin over 2^bits - 1 goes too; with ``most`` only
+    as many lines are taken.
+    """
+    c = cells(F.col("value"))
+    rows = spark.read.text(path).select(F.transform(c, lambda x: x.try_cast("int")).alias("c")).where((F.size("c") == features + 1) & F.forall("c", lambda x: x.isNotNull()))
+    if bits is not None:
+        rows = rows.where(F.forall(F.slice("c", 2, features), lambda x: x.between(0, (1 << bits) - 1)))
+    rows = rows.limit(most) if most is not None else rows
+    return rows.select(F.col("c")[0].alias("label"), *[F.col("c")[i + 1].alias(f"bin_{i}") for i in range(features)])
+
+
+def write_features(df: DataFrame, path: str, label: str, features: list[str], row_id: str | None = None, seed: int | None = None) -> None:
+    """label, then the features, without header; with a seed the rows are shuffled, the same way each time."""
+    if seed is not None:
+        from quantgrove.operators.sampling import shuffled
+
+        df = shuffled(df, row_id, seed).repartitionByRange("place").sortWithinPartitions("place")
+    df.select(label, *features).write.mode("overwrite").csv(path)
+
+
+#: Labels that a dictionary may hold: their ids are bytes in the exchange format.
+MOST_LABELS = 256
+
+
+def check_labels(dictionary: DataFrame) -> DataFrame:
+    """The dictionary, if its ids fit in a byte."""
+    n = dictionary.count()
+    if n > MOST_LABELS:
+        raise ValueError(f"{n} labels, but ids end at {MOST_LABELS - 1}")
+    return dictionary
 
 
 def label_dictionary(df: DataFrame, label: str) -> DataFrame:
@@ -59,7 +116,7 @@ def label_dictionary(df: DataFrame, label: str) -> DataFrame:
 
 def encode(df: DataFrame, dictionary: DataFrame, label: str, unknown: int | None = 0) -> DataFrame:
     """Adds label_id; unknown labels get the given id, or null."""
-    out = df.join(F.broadcast(dictionary.select(F.col("label").alias(label), "label_id")), label, "left")
+    out = df.join(dictionary.select(F.col("label").alias(label), "label_id"), label, "left")  # sent to all tasks if Spark finds it small
     return out.withColumn("label_id", F.coalesce("label_id", F.lit(unknown))) if unknown is not None else out
 
 
@@ -78,3 +135,15 @@ def dataset_params(df: DataFrame, label: str, features: int, bits: int) -> DataF
     fixed = total.select(F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), v.cast("long").alias("value")) for p, v in (("quantization_coefficient", F.lit(bits)), ("num_features", F.lit(features)), ("num_samples", F.col("n")), ("num_labels", F.col("k")))])).alias("s")).select("s.*")
     each = counts.select(F.concat(F.lit("samples_label_"), F.col("label_id").cast("string")).alias("parameter"), F.col("rows").cast("long").alias("value"))
     return fixed.unionByName(each)
+
+
+def write_params(params: DataFrame, path: str) -> None:
+    params.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def read_params(spark: SparkSession, path: str, most_labels: int = 32) -> dict[str, int]:
+    """Parameters by name; counts of labels from ``most_labels`` on are left out, as are lines that cannot be read."""
+    rows = spark.read.option("header", "true").schema("parameter string, value string").csv(path)
+    number_ = F.regexp_extract("parameter", r"^samples_label_(\d+)$", 1).try_cast("int")
+    kept = rows.select("parameter", F.col("value").try_cast("long").alias("value")).where(F.col("value").isNotNull() & (number_.isNull() | (number_ < most_labels)))
+    return {r["parameter"]: r["value"] for r in kept.collect()}  # a few rows a label

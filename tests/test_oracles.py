@@ -2,7 +2,7 @@
 
 import pytest
 
-from quantgrove.plans.queries import QUERIES, SQL
+from quantgrove.plans.catalog import QUERIES, SQL
 from tests.compare import duck, ordered
 
 
