@@ -99,11 +99,14 @@ def impurity(counts: Column, total: Column, criterion: str) -> Column:
     return 1 - F.aggregate(counts, F.lit(0.0), lambda a, c: a + share(c) * share(c))
 
 
-def histogram(rows: DataFrame, bins: Sequence[str], keys: Sequence[str], label: str = "label", weight: str | None = None) -> DataFrame:
-    """keys, feature, bin, label, w: the rows are combined in each task before anything moves."""
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(b).cast("int").alias("bin")) for i, b in enumerate(bins)])).alias("fb")
+def histogram(rows: DataFrame, bins: Sequence[str] | str, keys: Sequence[str], label: str = "label", weight: str | None = None) -> DataFrame:
+    """keys, feature, bin, label, w: the rows are combined in each task before anything moves.
+
+    ``bins`` names the columns, or one column that holds them as an array.
+    """
+    each = F.posexplode(F.col(bins) if isinstance(bins, str) else F.array(*[F.col(b).cast("int") for b in bins])).alias("feature", "bin")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return rows.select(*keys, F.col(label).alias("label"), w.alias("w"), each).select(*keys, "label", "w", "fb.feature", "fb.bin").groupBy(*keys, "feature", "bin", "label").agg(F.sum("w").alias("w"))
+    return rows.select(*keys, F.col(label).alias("label"), w.alias("w"), each).groupBy(*keys, "feature", "bin", "label").agg(F.sum("w").alias("w"))
 
 
 def split_gains(hist: DataFrame, keys: Sequence[str], groups: int, criterion: str = "gini") -> DataFrame:
@@ -159,39 +162,37 @@ def grow(rows: DataFrame, bins: Sequence[str], labels: int, groups: int, options
     """
     from quantgrove.operators.sampling import feature_subset
 
-    o, nodes, base = options, [], rows.withColumn("node", F.lit(0).cast("long"))
-    spark = rows.sparkSession
+    spark, o, nodes = rows.sparkSession, options, []
+    base = rows.select("tree_id", "weight", F.col(label).alias("label"), F.array(*[F.col(b).cast("int") for b in bins]).alias("bins"), F.lit(0).cast("long").alias("node"))
     k = max(1, int(math.sqrt(len(bins)))) if o.trees > 1 else len(bins)
     count = dict.fromkeys(range(o.trees), 1)
     keys = ["tree_id", "node"]
     for depth in range(o.max_depth):
-        hist = histogram(base, bins, keys, label, "weight").persist()  # by the model's shape; a lost block is worked out anew
-        tops = {(r["tree_id"], r["node"]): r for r in majorities(hist, keys).collect()}
-        if not tops:
-            hist.unpersist()
-            break
-        best = {}
+        hist = histogram(base, "bins", keys, "label", "weight").persist()  # by the model's shape; a lost block is worked out anew
+        tops = majorities(hist, keys)
         if depth < o.max_depth - 1:
-            seen = hist
-            if k < len(bins):
-                open_ = spark.createDataFrame(sorted(tops), "tree_id int, node long")
-                seen = hist.join(feature_subset(len(bins), open_, k, o.seed), [*keys, "feature"])
-            best = {(r["tree_id"], r["node"]): r for r in best_splits(split_gains(seen, keys, groups, o.criterion), keys).collect()}
+            seen = hist if k == len(bins) else hist.join(feature_subset(len(bins), hist.select(*keys).distinct(), k, o.seed), [*keys, "feature"])
+            tops = tops.join(best_splits(split_gains(seen, keys, groups, o.criterion), keys), keys, "left")
+        else:
+            tops = tops.withColumn("gain", F.lit(None).cast("double"))
+        tops = {(r["tree_id"], r["node"]): r for r in tops.collect()}
         hist.unpersist()
+        if not tops:
+            break
         splits = []
         for (t, i), top in sorted(tops.items()):
-            n, found = top["n"], best.get((t, i))
-            cut = found is not None and top["most"] < n and n >= o.min_split and count[t] + 2 <= o.max_nodes
-            if not cut or found["gain"] <= gain_floor(n, o) or min(found["n_left"], found["n_right"]) < o.min_leaf:
+            n = top["n"]
+            cut = top["gain"] is not None and top["most"] < n and n >= o.min_split and count[t] + 2 <= o.max_nodes
+            if not cut or top["gain"] <= gain_floor(n, o) or min(top["n_left"], top["n_right"]) < o.min_leaf:
                 nodes.append(Node(t, i, depth, top["label"]))
             else:
-                nodes.append(Node(t, i, depth, top["label"], found["feature"], found["at_most"]))
+                nodes.append(Node(t, i, depth, top["label"], top["feature"], top["at_most"]))
                 count[t] += 2
-                splits.append((t, i, found["feature"], found["at_most"]))
+                splits.append((t, i, top["feature"], top["at_most"]))
         if not splits:
             break
         table = spark.createDataFrame(splits, "tree_id int, node long, feature int, at_most int")
-        value = F.element_at(F.array(*[F.col(b).cast("int") for b in bins]), F.col("feature") + 1)
+        value = F.element_at("bins", F.col("feature") + 1)
         # A level's splits: trees x nodes of a level, bounded by the options.
         base = base.join(F.broadcast(table), keys).withColumn("node", F.when(value <= F.col("at_most"), 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2)).drop("feature", "at_most")
         if folder and depth % WRITE_EVERY == WRITE_EVERY - 1:

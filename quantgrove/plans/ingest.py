@@ -295,7 +295,7 @@ def shuffle_rows(spark, sf_dir):
     return sampling.shuffled(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 3)
 
 
-BASKET = "a AS (SELECT l_orderkey AS id, list(l_partkey % 20 ORDER BY l_linenumber) AS v FROM lineitem GROUP BY 1)"
+BASKET = "a AS (SELECT l_orderkey AS id, list(l_partkey % 20 ORDER BY l_linenumber, l_partkey % 20) AS v FROM lineitem GROUP BY 1)"
 
 
 def _baskets(spark, sf_dir) -> DataFrame:
