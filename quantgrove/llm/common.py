@@ -83,15 +83,21 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-#: Texts of an Arrow batch: Spark's default of 10000 may be hundreds of MB of long texts, in the JVM and in Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: Spark's default of 10000 rows may be hundreds of MB of long texts, in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """The same table, in a session that hands texts to Python in batches of bounded rows."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
+    """The same table, in a session that hands texts to Python in batches of bounded rows and bytes.
+
+    Results are read lazily, when the settings must still hold, so they stay
+    set; a session that has smaller ones keeps them.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        found = conf.get(key).lower().removesuffix("b")
+        if not (found.isdigit() and 0 < int(found) <= most):
+            conf.set(key, most)
     return df
 
 
@@ -120,6 +126,13 @@ def sample_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.orderBy(h, key).limit(most)
 
 
+def exact_key(text: str) -> bytes:
+    """128-bit hash that tells different texts apart."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def batch_of(schema: pa.Schema, cols: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in schema], schema=schema)
 

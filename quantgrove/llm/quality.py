@@ -8,7 +8,7 @@ weighted by line length.
 
 The chain is trained by maximum likelihood (numpy, Adam) on lines that inherit
 their document's label, from a bounded sample (``most`` labelled documents
-outside the held-out fold, by hash of id, one of each distinct text; in
+outside the held-out fold, by hash of id, one of each distinct text by a 128-bit hash; in
 training, and there only, chains are cut after ``chain`` lines). Scoring runs
 over whole texts.
 
@@ -21,27 +21,41 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantgrove.llm.common import batch_of, documents_of, held_out, in_small_batches, sample_by_hash
+from quantgrove.llm.common import batch_of, documents_of, exact_key, held_out, in_small_batches, sample_by_hash
 
 #: Labelled documents of the sample, lines of a training chain, score from which a text is good.
 MOST, CHAIN, THRESHOLD = 8000, 64, 0.7
 
-# Classes of code points: 0 letter or other, 1 upper case, 2 digit, 3 white space, 4 sentence mark, 5 bar, 6 other sign.
-_CLASS = np.zeros(0x250, np.uint8)
-for _c in range(0x250):
-    _ch = chr(_c)
-    _CLASS[_c] = 1 if _ch.isupper() else 0 if _ch.isalpha() else 2 if _ch.isdigit() else 3 if _ch.isspace() else 4 if _ch in ".,;:'\"?-()" else 5 if _ch == "|" else 6
+#: Code points that are told apart; those beyond are ideographs, which count as letters.
+KNOWN = 0x20000
+#: Fixed list: sentence marks, of other scripts too.
+MARKS = ".,;:'\"?-()¿¡…‘’“”„«»–—、。，．：；？（）「」『』۔،؛؟।॥"
+
+
+def _classes() -> np.ndarray:
+    """Class of each code point: 0 letter, 1 upper case, 2 digit, 3 white space, 4 sentence mark, 5 bar, 6 other sign."""
+    out = np.zeros(KNOWN + 1, np.uint8)
+    for c in range(KNOWN):
+        ch = chr(c)
+        if ch.isalpha():
+            out[c] = ch.isupper()
+        elif unicodedata.category(ch)[0] != "M":  # marks that belong to letters count as letters
+            out[c] = 2 if ch.isdigit() else 3 if ch.isspace() else 4 if ch in MARKS else 5 if ch == "|" else 6
+    return out
+
+
+_CLASS = _classes()
 #: Measures of a line.
 OWN = 12
 
@@ -51,7 +65,7 @@ def measures(text: str) -> tuple[np.ndarray, np.ndarray]:
     lines = text.split("\n")
     n = len(lines)
     codes = np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
-    classes = _CLASS[np.minimum(codes, 0x24F)]
+    classes = _CLASS[np.minimum(codes, KNOWN)]
     ends = np.flatnonzero(codes == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
     lengths = ends - starts
@@ -190,14 +204,14 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     if not rows:
         return Model(np.zeros(WIDTH), np.zeros((2, 2)), 1.0)
     chosen = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, quality int")  # at most ``most`` rows
-    out = pa.schema([("text", pa.int64()), ("quality", pa.int32()), ("lines", pa.binary())])
+    out = pa.schema([("text", pa.binary()), ("quality", pa.int32()), ("lines", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield batch_of(out, {"text": [crc32(text.encode("utf-8", "surrogatepass")) << 20 | len(text) & 0xFFFFF], "quality": [label], "lines": [measures(text)[0].astype("<f4").tobytes()]})
+                yield batch_of(out, {"text": [exact_key(text)], "quality": [label], "lines": [measures(text)[0].astype("<f4").tobytes()]})
 
-    got = documents_of(documents).join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(run, "text long, quality int, lines binary").dropDuplicates(["text", "quality"]).toArrow().sort_by([("text", "ascending"), ("quality", "ascending")])
+    got = documents_of(documents).join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(run, "text binary, quality int, lines binary").dropDuplicates(["text", "quality"]).toArrow().sort_by([("text", "ascending"), ("quality", "ascending")])
     chains = []
     gap = np.zeros((1, OWN))
     for x in got["lines"].to_pylist():

@@ -13,11 +13,14 @@ the other way. With the logistic loss, sigmoid(g) estimates the probability of
 being toxic.
 
 A text's features are the hashed words that it holds, whatever their number,
-over its whole length. All words seen often enough are weighed; the less a word
-differs between positives and what the prior leaves as clean, the more its
-weight is shrunk. Training takes bounded samples (``most``
+over its whole length. All words seen often enough are weighed, ``WEIGHED`` at
+most, those of most evidence; the less one differs between positives and what
+the prior leaves as clean, the more its weight is shrunk. The prior is the
+share of toxic labels outside the held-out fold; where the ``MARKS`` most
+telling words are rarer among the unlabelled than this
+share calls for, it is lowered to what they show. Training takes bounded samples (``most``
 positives and ``most_unlabelled`` texts, by hash of id, one of each distinct
-text); scoring covers every document.
+text, told apart by a 128-bit hash); scoring covers every document.
 
 Defined results: a null or empty text has no words and scores the model's
 bias; without any positive example every score is 0. Rows with a null doc_id
@@ -27,6 +30,7 @@ as toxic if one of them is. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,10 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantgrove.llm.common import batch_of, documents_of, held_out, in_small_batches, sample_by_hash
+from quantgrove.llm.common import batch_of, documents_of, exact_key, held_out, in_small_batches, sample_by_hash
 
 #: Hash buckets for words; sample bounds; words weighed at most; score from which a text is toxic.
-BUCKETS, MOST, MOST_UNLABELLED, WEIGHED, THRESHOLD = 1 << 20, 3000, 9000, 4096, 0.3
+BUCKETS, MOST, MOST_UNLABELLED, WEIGHED, THRESHOLD = 1 << 22, 3000, 9000, 4096, 0.3
 #: Words, the most telling first, from which the share of hidden positives is estimated; evidence beyond chance.
 MARKS, SURE = 32, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -64,21 +68,23 @@ class Model:
 
     def scorer(self):
         class Known(dict):
-            """Weight of every word met so far, up to a bounded number."""
+            """Bucket of every word met so far if it has a weight, up to a bounded number of words."""
 
             def __missing__(known, word):
                 if len(known) > 200_000:
                     known.clear()
-                known[word] = w = self.weights.get(bucket(word), 0.0)
-                return w
+                b = bucket(word)
+                known[word] = found = b if b in self.weights else -1
+                return found
 
         known = Known()
 
         def score(text: str) -> float:
             if self.prior <= 0:
                 return 0.0
-            z = self.bias + sum(sorted(map(known.__getitem__, words(text))))  # sorted: sums don't depend on set order
-            return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z)))))
+            held = set(map(known.__getitem__, words(text))) - {-1}
+            z = math.fsum([self.bias, *map(self.weights.__getitem__, held)])  # the same sum in any order
+            return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
         return score
 
@@ -100,12 +106,20 @@ def evidence(p: np.ndarray, u: np.ndarray, np_: int, nu: int, prior: float) -> n
     return np.sign(a - c) * np.sqrt(2 * np.maximum(gain, 0))
 
 
-def train(positives: list[list[int]], unlabelled: list[list[int]], prior: float, weighed: int = WEIGHED, steps: int = 400, rate: float = 0.1, shrink: float = 0.08) -> Model:
-    """Fit on the word buckets of each text."""
+def _flat(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(features, number of the text of each)."""
+    sizes = [len(x) for x in texts]
+    flat = np.concatenate([np.asarray(x, np.int64) for x in texts]) if texts else np.empty(0, np.int64)
+    return flat, np.repeat(np.arange(len(texts)), sizes)
+
+
+def train(positives: list, unlabelled: list, prior: float, weighed: int = WEIGHED, steps: int = 400, rate: float = 0.1, shrink: float = 0.08) -> Model:
+    """Fit on the distinct feature buckets of each text."""
     if not positives or not unlabelled or prior <= 0:
         return Model(0.0, {}, 0.0)
     prior = min(prior, 0.95)
-    p, u = (np.bincount(np.concatenate([np.asarray(x, np.int64) for x in side] or [np.empty(0, np.int64)]), minlength=BUCKETS) for side in (positives, unlabelled))
+    (fp, rp), (fu, ru) = _flat(positives), _flat(unlabelled)
+    p, u = np.bincount(fp, minlength=BUCKETS), np.bincount(fu, minlength=BUCKETS)
     np_, nu = len(positives), len(unlabelled)
     chosen = np.flatnonzero((p >= 3) | (u >= 10))
     z = evidence(p[chosen], u[chosen], np_, nu, prior)
@@ -116,13 +130,8 @@ def train(positives: list[list[int]], unlabelled: list[list[int]], prior: float,
     scale = np.minimum(np.abs(z) / SURE, 1) ** 2
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
-    flat, row = [], []
-    for i, x in enumerate([*positives, *unlabelled]):
-        at = place[np.asarray(x, np.int64)]
-        at = at[at >= 0]
-        flat.append(at)
-        row.append(np.full(len(at), i))
-    flat, row = np.concatenate(flat), np.concatenate(row)
+    flat, row = place[np.concatenate([fp, fu])], np.concatenate([rp, ru + np_])
+    flat, row = flat[flat >= 0], row[flat >= 0]
     n = np_ + nu
     if marks:
         # Positives hidden among the unlabelled hold these words as often as the confirmed ones do.
@@ -166,17 +175,18 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MOST, most_unlabell
     others = sample_by_hash(others, "doc_id", most_unlabelled).withColumn("side", F.lit(0))
     # At most most + most_unlabelled ids: small enough to send to every executor.
     chosen = spark.createDataFrame([tuple(r) for r in toxic.union(others).collect()] or [(-1, 0)], "doc_id long, side int")
-    out = pa.schema([("side", pa.int32()), ("text", pa.int64()), ("words", pa.list_(pa.int32()))])
+    out = pa.schema([("side", pa.int32()), ("text", pa.binary()), ("features", pa.binary())])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             side, texts = (b.column(i).to_pylist() for i in range(2))
-            yield batch_of(out, {"side": side, "text": [crc32(t.encode("utf-8", "surrogatepass")) << 20 | len(t) & 0xFFFFF for t in texts], "words": [sorted({bucket(w) for w in words(t)}) for t in texts]})
+            each = [np.array(sorted({bucket(w) for w in words(t)}), "<i4").tobytes() for t in texts]
+            yield batch_of(out, {"side": side, "text": [exact_key(t) for t in texts], "features": each})
 
-    rows = documents_of(documents).join(F.broadcast(chosen), "doc_id").select("side", "text").mapInArrow(features, "side int, text long, words array<int>").dropDuplicates(["side", "text"]).toArrow()
+    rows = documents_of(documents).join(F.broadcast(chosen), "doc_id").select("side", "text").mapInArrow(features, "side int, text binary, features binary").dropDuplicates(["side", "text"]).toArrow()
     rows = rows.sort_by([("side", "ascending"), ("text", "ascending")])
     sides = np.array(rows["side"])
-    each = rows["words"].to_pylist()
+    each = [np.frombuffer(x.as_buffer(), "<i4") for x in rows["features"]]
     return train([x for x, s in zip(each, sides) if s == 1], [x for x, s in zip(each, sides) if s == 0], prior)
 
 
