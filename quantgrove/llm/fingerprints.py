@@ -5,7 +5,8 @@ substrings of length s lies at its first or last place. Whether a k-mer is
 kept depends on its own letters only, so two texts that share a passage keep
 the same anchors inside it, whatever surrounds it. A fingerprint is a bottom-m
 sample of the distinct kept k-mers, each with the place of its first
-occurrence; likeness compares two samples and counts only anchors that lie in
+occurrence; m is 64, and one for every 256 code points of a longer text.
+Likeness compares two samples and counts only anchors that lie in
 the same order in both texts.
 
 Defined results: a null text counts as empty; an empty text has the empty
@@ -25,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantgrove.llm.common import batch_of, documents_of
 
 #: Code points of a k-mer, of an inner substring, and anchors of a fingerprint.
 K, S, SAMPLE = 12, 5, 64
+#: Code points of a long text for each anchor: a shared passage of some thousand is seen in a text of any length.
+EACH = 256
 #: Rows of one output batch.
 ROWS = 500
 _BASE = 0x9E3779B97F4A7C15
@@ -103,9 +106,10 @@ def sketch(text: str, k: int = K, s: int = S, sample: int = SAMPLE) -> np.ndarra
     nth = np.arange(len(hashes)) - np.repeat(new, np.diff(np.r_[new, len(hashes)]))
     values = _mix(hashes + nth.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(32)
     values, first = np.unique(values, return_index=True)
-    out = np.zeros(min(sample, len(values)), _ANCHOR)
-    out["hash"] = values[:sample]
-    out["at"] = at[first[:sample]]
+    most = min(sample_of(len(text), sample), len(values))
+    out = np.zeros(most, _ANCHOR)
+    out["hash"] = values[:most]
+    out["at"] = at[first[:most]]
     return out
 
 
@@ -118,11 +122,16 @@ def decode(fingerprint: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray, sample: int = SAMPLE) -> float:
-    """Share of the joint bottom sample that both hold, in the same order of place."""
+    """Share of the joint bottom sample that both hold, in the same order of place.
+
+    A sample smaller than ``sample`` is whole. Of two that are cut, the joint
+    sample is as large as the smaller one.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     x, y = dict(a.tolist()), dict(b.tolist())
-    joint = sorted(x.keys() | y.keys())[: max(1, min(sample, max(len(x), len(y))))]
+    cut = [n for n in (len(x), len(y)) if n >= sample]
+    joint = sorted(x.keys() | y.keys())[: min(cut, default=max(len(x), len(y)))]
     tails: list[int] = []
     for _, at in sorted((x[h], y[h]) for h in joint if h in x and h in y):
         i = bisect_left(tails, at)
@@ -136,6 +145,27 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+def cuts_below(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts lie below the value, by halving: the steps grow with the logarithm of their number."""
+    if not cuts:
+        return F.lit(0)
+    at = F.lit([int(c) for c in cuts])
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        below = F.element_at(at, F.least(middle + 1, F.lit(len(cuts)))) < value
+        open_ = a["low"] < a["high"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(a["low"]).alias("low"), F.when(open_ & ~below, middle).otherwise(a["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    return F.aggregate(F.lit(list(range(len(cuts).bit_length() + 1))), start, step)["low"]
+
+
+def sample_of(n_chars: int, sample: int) -> int:
+    """Anchors that a text of this length may keep: ``sample``, and one for every ``EACH`` code points of a long one."""
+    return max(sample, n_chars // EACH)
+
+
 def ordered_with_next(docs: DataFrame, splits: int = 1024) -> DataFrame:
     """Rows grouped by ranges of doc_id, each range followed by the first row of the next one.
 
@@ -151,11 +181,7 @@ def ordered_with_next(docs: DataFrame, splits: int = 1024) -> DataFrame:
     n, cuts = docs.agg(F.sum(F.lit(1)), F.percentile_approx("ord", probs, 10 * splits)).first()
     groups = max(1, min(splits, (n or 0) // 256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted(set((cuts or [])[splits // groups - 1 :: max(1, splits // groups)]))
-    if cuts:
-        at = F.array(*[F.lit(int(c)) for c in cuts])
-        ranged = docs.withColumn("range", F.size(F.filter(at, lambda c: c < F.col("ord"))))
-    else:
-        ranged = docs.withColumn("range", F.lit(0))
+    ranged = docs.withColumn("range", cuts_below(F.col("ord"), cuts))
     firsts = [tuple(r) for r in ranged.groupBy("range").agg(F.min("ord")).orderBy("range").collect()]
     to = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]  # the first of all goes to the last
     ahead = spark.createDataFrame(to or [(0, 0)], "ord long, to int")
