@@ -7,14 +7,16 @@ the data bytes. A reader looks each control byte up in a numpy table that
 gives the places of sixteen target bytes at once, so it decodes a file without
 a loop over ids.
 
-Files hold ranges of doc_id in ascending order. Each is written under the
-name of its range and moved into place as a whole; the list of files is itself
-a table in the shared folder, so a lost executor costs the files it was
+Rows are sorted by range of (doc_id, hash of the ids), so that even one id that
+a third of all rows share is spread; each task writes its range as files of
+bounded size, under the name of the range and a number. A file is moved into
+place as a whole; the list of files, with the number of ids before each, is
+itself a table in the shared folder, so a lost executor costs the files it was
 writing and nothing else.
 
 Defined results: a null text counts as empty (the end id alone), null doc_ids
-come first, equal doc_ids follow each other by their ids, repeated rows are
-all kept. Columns other than doc_id and text are ignored.
+come first, equal doc_ids follow each other by a hash of their ids, repeated
+rows are all kept. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +28,16 @@ from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantgrove.llm.common import batch_of, documents_of, filesystem, materialise, scratch, write_once
 from quantgrove.llm.tokens import default_tokenizer, encoder
 
-MAGIC = b"QGRV0001"
-_HEAD = struct.Struct("<8sQQQQ")  # magic, documents, ids, ids before, data bytes
-#: Ids that a file holds, about.
-FILE_IDS = 1 << 21
+MAGIC = b"QGRV0002"
+_HEAD = struct.Struct("<8sQQQ")  # magic, documents, ids, data bytes
+#: Ids after which a file is closed: what a task holds is these and one document more. Tasks that write, at most; each writes as many files as its rows need.
+FILE_IDS, TASKS = 1 << 21, 50_000
 
 
 # --- the coding -----------------------------------------------------------
@@ -72,17 +74,17 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")[:n]
 
 
-def pack_file(doc_ids: list[int | None], lengths: list[int], ranks: np.ndarray, before: int) -> bytes:
+def pack_file(doc_ids: list[int | None], lengths: list[int], ranks: np.ndarray) -> bytes:
     control, data = encode(ranks)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     ids = np.array([d or 0 for d in doc_ids], "<i8")
-    head = _HEAD.pack(MAGIC, len(doc_ids), len(ranks), before, len(data))
+    head = _HEAD.pack(MAGIC, len(doc_ids), len(ranks), len(data))
     return b"".join([head, known.tobytes(), ids.tobytes(), np.array(lengths, "<u8").tobytes(), control, data])
 
 
-def unpack_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int]:
-    """(doc_ids, lengths, ranks, ids before) of a file."""
-    magic, docs, n, before, size = _HEAD.unpack_from(blob)
+def unpack_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """(doc_ids, lengths, ranks) of a file."""
+    magic, docs, n, size = _HEAD.unpack_from(blob)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = _HEAD.size
@@ -92,7 +94,7 @@ def unpack_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray,
     at += 17 * docs
     m = -(-n // 4)
     ranks = decode(blob[at : at + m], blob[at + m : at + m + size], n)
-    return [i if k else None for i, k in zip(ids.tolist(), known.tolist())], lengths, ranks, before
+    return [i if k else None for i, k in zip(ids.tolist(), known.tolist())], lengths, ranks
 
 
 # --- the store ------------------------------------------------------------
@@ -133,51 +135,43 @@ def write(documents: DataFrame, folder: str, tokenizer: str | None = None, file_
     ranks_at = f"{folder}/ranks.u32"
     write_once(ranks_at, ranking.tobytes())
 
-    docs = rows.where("ids is not null").select("ord", "doc_id", "n_ids", "ids")
-    most = max(1024, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    probs = [i / most for i in range(1, most)]
-    total, cuts = docs.agg(F.sum("n_ids"), F.percentile_approx("ord", probs, 10 * most)).first()
-    files = max(1, min(most, -(-(total or 0) // file_ids)))
-    cuts = sorted(set((cuts or [])[most // files - 1 :: max(1, most // files)]))
-    if cuts:
-        at = F.array(*[F.lit(int(c)) for c in cuts])
-        docs = docs.withColumn("file", F.size(F.filter(at, lambda c: c < F.col("ord"))))
-    else:
-        docs = docs.withColumn("file", F.lit(0))
-    # One number per file; the sums before each are taken here.
-    sums, before, first = docs.groupBy("file").agg(F.sum("n_ids").alias("n")).orderBy("file").collect(), 0, {}
-    for r in sums:
-        first[r["file"]] = before
-        before += r["n"]
-
-    listed = pa.schema([("path", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
+    docs = rows.where("ids is not null").select("ord", "doc_id", F.xxhash64("ids").alias("tie"), "ids")
+    total = rows.agg(F.sum("n_ids")).first()[0] or 0
+    listed = pa.schema([("path", pa.string()), ("part", pa.int32()), ("number", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        part, number = context.partitionId() if context else 0, 0
         to_rank = np.zeros(1 << 16, np.uint32)
         order = _ranking(ranks_at)
         to_rank[order] = np.arange(len(order))
+        doc_ids, lengths, ranks, held = [], [], [], 0
 
-        def close(file, doc_ids, lengths, ranks):
-            blob = pack_file(doc_ids, lengths, np.concatenate(ranks), first[file])
-            write_once(f"{folder}/part-{file:08d}.tok", blob)
-            return batch_of(listed, {"path": [f"{folder}/part-{file:08d}.tok"], "first": [first[file]], "docs": [len(doc_ids)], "ids": [sum(lengths)], "bytes": [len(blob)]})
+        def close() -> pa.RecordBatch:
+            blob, at = pack_file(doc_ids, lengths, np.concatenate(ranks)), f"{folder}/part-{part:06d}-{number:06d}.tok"
+            write_once(at, blob)
+            return batch_of(listed, {"path": [at], "part": [part], "number": [number], "docs": [len(doc_ids)], "ids": [held], "bytes": [len(blob)]})
 
-        now, doc_ids, lengths, ranks = None, [], [], []
         for b in batches:
-            for file, doc_id, ids in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if file != now and doc_ids:
-                    yield close(now, doc_ids, lengths, ranks)
-                    doc_ids, lengths, ranks = [], [], []
-                now = file
+            for doc_id, ids in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 got = np.frombuffer(decompress(ids), "<u2")
                 doc_ids.append(doc_id)
                 lengths.append(len(got))
                 ranks.append(to_rank[got])
+                held += len(got)
+                if held >= file_ids:
+                    yield close()
+                    number, doc_ids, lengths, ranks, held = number + 1, [], [], [], 0
         if doc_ids:
-            yield close(now, doc_ids, lengths, ranks)
+            yield close()
 
-    spread = docs.repartition("file").sortWithinPartitions("file", "ord", "ids").select("file", "doc_id", "ids")
-    return materialise(spread.mapInArrow(store, "path string, first long, docs long, ids long, bytes long"), "token-files")
+    tasks = max(1, min(TASKS, -(-total // file_ids)))
+    spread = docs.repartitionByRange(tasks, "ord", "tie").sortWithinPartitions("ord", "tie", "ids").select("doc_id", "ids")
+    files = materialise(spread.mapInArrow(store, "path string, part int, number int, docs long, ids long, bytes long"), "token-list")
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a thin row a file
+    return materialise(files.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first"), "docs", "ids", "bytes"), "token-files")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -186,10 +180,10 @@ def read(files: DataFrame) -> DataFrame:
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fs, at = filesystem(path)
                 with fs.open_input_file(at) as f:
-                    doc_ids, lengths, ranks, before = unpack_file(f.read())
+                    doc_ids, lengths, ranks = unpack_file(f.read())
                 ids = _ranking(f"{path.rpartition('/')[0]}/ranks.u32")[ranks]
                 stops = np.cumsum(lengths.astype(np.int64))
                 starts = stops - lengths.astype(np.int64)
@@ -198,7 +192,7 @@ def read(files: DataFrame) -> DataFrame:
                     yield batch_of(out, {"doc_id": doc_ids[i : i + 1000], "start": (before + starts[i : i + 1000]).tolist(), "n_tokens": lengths[i : i + 1000].astype(np.int64).tolist(), "ids_crc32": list(map(crc32, each)), "ids": each})
 
     spark = files.sparkSession
-    spread = files.select("path").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
+    spread = files.select("path", "first").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
