@@ -1,7 +1,8 @@
 """Near copies by an exact set similarity join on word shingles, with adaptive multi-match prefixes.
 
 A document's set holds its distinct five-word shingles. Shingles have one
-global order, rarest first by a counting sketch of fixed size. Two sets with
+global order, rarest first by a counting sketch that is sized by the corpus
+(one counter for about eight shingles, 2^22 at most: 16 MB in each worker). Two sets with
 a Jaccard likeness of t or more share at least l shingles among the first
 n - ceil(t n) + l of each, for every l (and the smaller of the two needs still
 fewer of its own). So a document may lengthen its prefix
@@ -40,21 +41,25 @@ and a component of such rows only has a null id. Classes are told apart by a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from quantgrove.llm.common import batch_of, documents_of, in_small_batches, materialise
+from quantgrove.llm.common import batch_of, documents_of, exact_key, in_small_batches, materialise
 
-#: Words of a shingle; the likeness asked for, in hundredths; largest l; bits of the sketch; rows of a salt.
-WIDTH, PERCENT, MOST_MATCHES, BITS, SALTED = 5, 75, 4, 18, 20_000
+#: Words of a shingle; the likeness asked for, in hundredths; largest l; least and most bits of the sketch; rows of a salt.
+WIDTH, PERCENT, MOST_MATCHES, BITS, MOST_BITS, SALTED = 5, 75, 4, 18, 22, 20_000
 #: Hub rounds at most; how many pair rows for each row of a prefix the last step may make before another round is tried; hubs that a class is compared with in a round; share of links among them below which no further round is made.
 ROUNDS, PAYS, HUBS, GAIN = 4, 8, 3, 0.5
 #: Rows of a prefix for each file of the tables that are made from them.
 FILE_ROWS = 40_000
 _BLOCK = 1 << 12
+#: Shingles that a task counts at once.
+_COUNTED = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,13 +161,23 @@ def most_apart(n, m, percent: int = PERCENT):
     return (n + m) * (100 - percent) // (100 + percent)
 
 
+def _counter(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits of a sketch with a counter for eight shingles, at six bytes a word; one pass over the lengths."""
+    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    return max(BITS, min(MOST_BITS, (words // 8).bit_length()))
+
+
 def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(shingles of the prefix, their counts, whether in the lead, l) of a sorted set under the order by count, then hash.
 
     The lead is the shorter prefix that does where the other set is no smaller.
     """
     n = len(s)
-    c = counts[(s >> np.uint64(64 - BITS)).astype(np.int64)]
+    c = counts[_counter(s, counts.size.bit_length() - 1)].astype(np.int64)
     order = np.argsort(c, kind="stable")  # ties stay in order of hash
     need = least_overlap(n, percent)
     first = order[: n - need + 1]
@@ -176,7 +191,7 @@ def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCE
 # --- passes over the texts ------------------------------------------------
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, bits: int) -> DataFrame:
     """(doc_id, cid, n) of every row, and the sketch's counts of every task in blocks."""
     out = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
 
@@ -185,35 +200,44 @@ def _classes(docs: DataFrame) -> DataFrame:
 
         context = TaskContext.get()
         task = context.partitionId() if context else 0
-        counts = np.zeros(1 << BITS, np.int64)
+        counts, held, n = np.zeros(1 << bits, np.uint32), [], 0
         for b in batches:
             doc_ids, texts = (b.column(i).to_pylist() for i in range(2))
             for i in range(0, len(texts), 256):
                 each = [shingles(t) for t in texts[i : i + 256]]
-                counts += np.bincount((np.concatenate(each) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                held.append(_counter(np.concatenate(each), bits))
+                n += len(held[-1])
+                if n >= _COUNTED:
+                    counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
+                    held, n = [], 0
                 none = [None] * len(each)
                 yield batch_of(out, {"doc_id": doc_ids[i : i + 256], "cid": [class_of(s) if len(s) else None for s in each], "n": list(map(len, each)), "block": none, "task": none, "counts": none})
+        if n:
+            counts += np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
         if counts.any():
-            parts = [counts[i : i + _BLOCK].tobytes() for i in range(0, 1 << BITS, _BLOCK)]
+            parts = [compress(counts[i : i + _BLOCK].tobytes(), 1) for i in range(0, 1 << bits, _BLOCK)]
             none = [None] * len(parts)
             yield batch_of(out, {"doc_id": none, "cid": none, "n": none, "block": list(range(len(parts))), "task": [task] * len(parts), "counts": parts})
 
     return materialise(docs.mapInArrow(run, "doc_id long, cid long, n long, block int, task int, counts binary"), "classes")
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
+def _sketch(rows: DataFrame, bits: int) -> np.ndarray:
     """The tasks' counts summed, 256 tasks at a time and then all: as large as the sketch, whatever the corpus."""
     ddl = "block int, task int, counts binary"
 
     def total(key, table):
-        counts = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        counts = np.zeros(_BLOCK, np.int64)
+        for x in table["counts"].to_pylist():
+            counts += np.frombuffer(decompress(x), np.uint32)
+        counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "task": pa.array([0], pa.int32()), "counts": pa.array([compress(counts.tobytes(), 1)], pa.binary())})
 
     some = rows.where("counts is not null").select("block", F.shiftright("task", 8).alias("task"), "counts")
     done = some.groupBy("block", "task").applyInArrow(total, ddl).groupBy("block").applyInArrow(total, ddl).collect()
-    out = np.zeros(1 << BITS, np.int64)
+    out = np.zeros(1 << bits, np.uint32)
     for r in done:
-        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.int64)
+        out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(decompress(r["counts"]), np.uint32)
     return out
 
 
@@ -268,13 +292,14 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return materialise(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "cid").mapInArrow(shared, "token long, cid long, n int, l int, lead int, share int"), "postings")
 
 
-#: Bits of the filter by which the pass over the texts passes over classes without postings.
-FILTER_BITS = 24
+#: Most bits of the filter by which the pass over the texts passes over classes without postings: 16 MB; a full filter only lets more through.
+FILTER_BITS = 27
 
 
 def _texts(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """(cid, n, signature, text compressed), once for every class that has postings (and a few that the filter lets through)."""
-    size = 1 << FILTER_BITS
+    classes = materialise(postings.select("cid").distinct(), "shared-classes")
+    size = 1 << max(16, min(FILTER_BITS, (16 * classes.count()).bit_length()))
     out = pa.schema([("cid", pa.int64()), ("size", pa.int32()), ("sig", pa.binary()), ("z", pa.binary())])
 
     def places(cids: np.ndarray) -> list[np.ndarray]:
@@ -294,7 +319,6 @@ def _texts(docs: DataFrame, postings: DataFrame) -> DataFrame:
         bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
         return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    classes = postings.select("cid").distinct()
     packed = np.zeros(size // 8, np.uint8)
     for r in classes.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(either, "block int, bits binary").collect():  # as large as the filter
         packed[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["bits"], np.uint8)
@@ -303,13 +327,13 @@ def _texts(docs: DataFrame, postings: DataFrame) -> DataFrame:
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        known, seen, z = np.unpackbits(sent.value).view(bool), set(), zstandard.ZstdCompressor(3)
+        known, seen, z = sent.value, set(), zstandard.ZstdCompressor(3)
         for b in batches:
             texts = b.column(0).to_pylist()
             for i in range(0, len(texts), 256):
                 sets = [shingles(t) for t in texts[i : i + 256]]
                 cids = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
-                hit = np.logical_and.reduce([known[at] for at in places(cids)]) & np.array([len(s) > 0 for s in sets], bool)
+                hit = np.logical_and.reduce([known[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1 for at in places(cids)]) & np.array([len(s) > 0 for s in sets], bool)
                 got: dict[int, tuple] = {}
                 for k in np.flatnonzero(hit).tolist():
                     if (cid := int(cids[k])) not in seen:
@@ -507,8 +531,9 @@ def _links(postings: DataFrame, texts: DataFrame) -> DataFrame | None:
 def class_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, cid, n), (cid, component_id, keeper: the class that holds the component's smallest doc_id)."""
     docs = documents_of(documents)
-    rows = _classes(docs)
-    counts = _sketch(rows)
+    bits = sketch_bits(docs)
+    rows = _classes(docs, bits)
+    counts = _sketch(rows, bits)
     rows = rows.where("n is not null").select("doc_id", "cid", "n")
     postings = _postings(docs, counts)
     comp = None if postings.isEmpty() else _links(postings, _texts(docs, postings))
@@ -527,25 +552,44 @@ def near_copies(documents: DataFrame) -> DataFrame:
     return rows.join(classes, "cid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, made longer until the table has no such column (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each component, columns as they are; rows without words all stay.
 
-    The row with the smallest doc_id stays; of equal rows any one does.
+    The row with the smallest doc_id stays; of several with that id the one
+    whose text has the smallest 128-bit hash, and of rows with equal texts the
+    first by a hash of the other columns. Columns of any other name are kept.
     """
     _, classes = class_components(documents)
-    keepers = classes.where(F.col("cid") == F.col("keeper")).select(F.col("cid").alias("__cid"), F.coalesce("component_id", F.lit(-(2**63))).alias("__low"))
+    cid, low, text = (unused(documents, n) for n in ("keep_cid", "keep_low", "keep_text"))
+    keepers = classes.where(F.col("cid") == F.col("keeper")).select(F.col("cid").alias(cid), F.coalesce("component_id", F.lit(-(2**63))).alias(low))
     schema = documents.schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    added = StructType([*schema, StructField(cid, LongType()), StructField(low, LongType()), StructField(text, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, ids = b.schema.get_field_index("text"), b.schema.get_field_index("doc_id")
-            sets = [shingles(t or "") for t in b.column(at).to_pylist()]
-            low = [-(2**63) if d is None else d for d in b.column(ids).to_pylist()]
-            extra = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(low, pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "__cid", "__low"])
-
-    rows = in_small_batches(documents).mapInArrow(run, f"{out}, __cid long, __low long")
-    kept = rows.where("__cid is not null").join(keepers, ["__cid", "__low"], "left_semi")
-    kept = kept.withColumn("__nth", F.row_number().over(Window.partitionBy("__cid", "__low").orderBy("__low"))).where("__nth = 1").drop("__nth")
-    return kept.unionByName(rows.where("__cid is null")).select(*[F.col(f"`{f.name}`") for f in schema])
+            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            sets = [shingles(t) for t in texts]
+            ids = [-(2**63) if d is None else d for d in b.column(b.schema.get_field_index("doc_id")).to_pylist()]
+            extra = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([exact_key(t) if len(s) else None for t, s in zip(texts, sets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, cid, low, text])
+
+    rows = in_small_batches(documents).mapInArrow(run, added)
+    kept = rows.where(F.col(cid).isNotNull()).join(keepers, [cid, low], "left_semi")
+    # Rows of one id and class: one group a document that stays, cut to its first row in each task before it moves.
+    others = [F.col(f"`{f.name}`") for f in schema if f.name != "text" and not _has_map(f.dataType)]
+    nth = unused(rows, "keep_nth")
+    first = F.row_number().over(Window.partitionBy(cid, low).orderBy(text, F.xxhash64(*others)))
+    kept = kept.withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
+    return kept.select(*rows.columns).unionByName(rows.where(F.col(cid).isNull())).select(*[F.col(f"`{f.name}`") for f in schema])
+
+
+def _has_map(kind) -> bool:
+    return "map<" in kind.simpleString()

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantgrove.llm import jaccard
 
@@ -113,3 +114,45 @@ def test_components_of_paths_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200, 201), (201, 200)]
     got = {r["cid"]: r["comp"] for r in jaccard.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 9)} | {201: 200}
+
+
+def test_reserved_names_and_ties(spark):
+    """Columns named like the stage's own, and rows that differ in case or in other columns only."""
+    rows = [(1, "A b c d e f", i, 7, 3) for i in (2, 1)] + [(1, "a b c d e f", 0, 7, 3), (2, "a b c d e f", 5, 7, 3), (3, "x", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_cid long, keep_low long, KEEP_NTH long")
+    one = [tuple(r) for r in jaccard.keep_one(df).orderBy("doc_id").collect()]
+    again = [tuple(r) for r in jaccard.keep_one(df.orderBy(F.desc("keep_cid"))).orderBy("doc_id").collect()]
+    assert one == again and [r[0] for r in one] == [1, 3] and jaccard.keep_one(df).columns == df.columns
+    named = spark.createDataFrame([(1, "a b", 1, 2, 3)], "doc_id long, text string, __cid long, __low long, __nth long")
+    assert [tuple(r) for r in jaccard.keep_one(named).collect()] == [(1, "a b", 1, 2, 3)]
+
+
+def test_links_of_whole_table_against_every_pair(spark):
+    """Documents whose id 50 divides, against all rows: each brute-force link lies in one component."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_copies(docs).collect()}
+    rows = [(r["doc_id"], jaccard.shingles(r["text"] or "")) for r in docs.collect()]
+    sizes = np.array([len(s) for _, s in rows])
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    flat = np.concatenate([s for _, s in rows])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    links = 0
+    for d, s in rows:
+        assert got[d][0] == len(s)
+        if d % 50 or not len(s):
+            continue
+        low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+        shared = np.bincount(np.concatenate([owner[a:z] for a, z in zip(low, high)]), minlength=len(rows))
+        for j in np.flatnonzero((shared > 0) & (100 * shared >= 75 * (len(s) + sizes - shared))):
+            links += rows[j][0] != d
+            assert got[rows[j][0]][1] == got[d][1]
+    assert links > 50
+
+
+def test_sketch_grows_with_the_corpus(spark):
+    small = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    big = spark.range(3000).selectExpr("id as doc_id", "repeat('words ', 5000) as text")
+    assert jaccard.sketch_bits(small) == jaccard.BITS and jaccard.sketch_bits(big) == 21 and jaccard.sketch_bits(small.limit(0)) == jaccard.BITS
