@@ -48,8 +48,8 @@ def unescape_role(role: Column) -> Column:
     return back
 
 
-def replies_of(conversations: DataFrame) -> DataFrame:
-    """Reply edges of a table of turns: conv_id, msg, parent, role, text, score.
+def replies_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts: msg, conv_id, role, text; replies: msg, parent, score) of a table of turns.
 
     A turn answers the one before it. Turns are numbered over the whole table
     by a range sort (each sorted part counts its own rows, and the counts of
@@ -64,7 +64,7 @@ def replies_of(conversations: DataFrame) -> DataFrame:
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .withColumn("mono", F.monotonically_increasing_id())
     )
-    parts = materialise(parts, "turns")
+    parts = materialise(parts, "turns")  # the one place where texts are sorted
     part, own = F.shiftright("mono", 33), F.col("mono").bitwiseAND((1 << 33) - 1)
     before, offsets = 0, []
     for r in parts.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row per part
@@ -72,22 +72,22 @@ def replies_of(conversations: DataFrame) -> DataFrame:
         before += r["count"]
     table = parts.sparkSession.createDataFrame(offsets or [(0, 0)], "part long, before long")
     numbered = parts.withColumn("part", part).join(F.broadcast(table), "part").select("conv_id", (own + F.col("before")).alias("msg"), "role", "text")
-    above = numbered.select((F.col("msg") + 1).alias("msg"), F.col("conv_id").alias("conv_above"), F.lit(1).alias("there"))
-    return numbered.join(above, "msg", "left").select(
-        "conv_id",
-        "msg",
-        F.when(F.col("there").isNotNull() & F.col("conv_id").eqNullSafe(F.col("conv_above")), F.col("msg") - 1).alias("parent"),
-        "role",
-        "text",
-        F.length("text").cast("double").alias("score"),
-    )
+    thin = numbered.select("msg", "conv_id", F.length("text").cast("double").alias("score"))
+    above = thin.select((F.col("msg") + 1).alias("msg"), F.col("conv_id").alias("conv_above"), F.lit(1).alias("there"))
+    same = F.col("there").isNotNull() & F.col("conv_id").eqNullSafe(F.col("conv_above"))
+    return numbered, thin.join(above, "msg", "left").select("msg", F.when(same, F.col("msg") - 1).alias("parent"), "score")
 
 
-def best_paths(replies: DataFrame, most: int | None = 1) -> DataFrame:
-    """Messages of the best ``most`` root-to-leaf paths of every root, all with None: root, leaf, depth and the message's columns."""
-    replies = materialise(replies, "replies")
+def best_paths(texts: DataFrame, replies: DataFrame, most: int | None = 1) -> DataFrame:
+    """Messages of the best ``most`` root-to-leaf paths of every root, all with None: root, leaf, depth and the message's columns.
+
+    ``texts`` holds msg, conv_id, role and text, ``replies`` msg, parent and
+    score. Paths are found on the thin rows of ``replies`` alone; texts are
+    joined once, at the end.
+    """
+    replies = materialise(replies.select("msg", "parent", "score"), "replies")
     ids = replies.select("msg")
-    links = replies.select("msg", "parent", "score").join(ids.withColumnRenamed("msg", "parent").withColumn("there", F.lit(1)), "parent", "left").select("msg", F.when(F.col("there") == 1, F.col("parent")).alias("up"), F.col("score").alias("sum"))
+    links = replies.join(ids.withColumnRenamed("msg", "parent").withColumn("there", F.lit(1)), "parent", "left").select("msg", F.when(F.col("there") == 1, F.col("parent")).alias("up"), F.col("score").alias("sum"))
     links = materialise(links.select("msg", "up", "sum", F.lit(1).cast("long").alias("span"), F.col("msg").alias("top")), "links")
     # Only threads that have not reached their root are joined again.
     done, levels = links.where("up is null"), []
@@ -108,7 +108,8 @@ def best_paths(replies: DataFrame, most: int | None = 1) -> DataFrame:
         # With the ancestors up to 2^k above marked, one join marks those up to 2^(k+1).
         marked = materialise(marked.union(level.join(marked, "msg").select("leaf", F.col("up").alias("msg"))), "marked")
     place = links.select("msg", F.col("top").alias("root"), F.col("span").alias("depth"))
-    return replies.join(marked, "msg").join(place, "msg").select("root", "leaf", "depth", "conv_id", "role", "text")
+    chosen = marked.join(place, "msg")
+    return texts.join(chosen, "msg").select("root", "leaf", "depth", "conv_id", "role", "text")
 
 
 def format_paths(paths: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def format_paths(paths: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame, most: int | None = 1) -> DataFrame:
-    return format_paths(best_paths(replies_of(conversations), most))
+    return format_paths(best_paths(*replies_of(conversations), most))
 
 
 def parse(formatted: Column) -> Column:

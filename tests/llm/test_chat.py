@@ -46,7 +46,7 @@ def test_the_best_branch_is_chosen(spark):
     rows = [(1, None, 1.0), (2, 1, 9.0), (3, 1, 1.0), (4, 2, 0.0), (5, 3, 4.0), (6, 5, 4.0), (7, 99, 0.0), (8, 7, 1.0), (9, 7, 1.0)]
     df = spark.createDataFrame([(1, m, p, "user", f"m{m}", s) for m, p, s in rows], "conv_id long, msg long, parent long, role string, text string, score double")
     got = {}
-    for r in chat.best_paths(df).orderBy("depth").collect():
+    for r in chat.best_paths(df, df).orderBy("depth").collect():
         got.setdefault(r["root"], []).append(r["text"])
     assert got == {1: ["m1", "m2", "m4"], 7: ["m7", "m8"]}  # 10 each at root 1: the smaller leaf
 
@@ -56,7 +56,7 @@ def test_several_branches_or_all(spark):
     df = spark.createDataFrame([(1, m, p, "assistant" if m == 5 else "user", f"m{m}", s) for m, p, s in rows], "conv_id long, msg long, parent long, role string, text string, score double")
     paths = {4: [1, 2, 4], 6: [1, 3, 5, 6], 10: [1, 3, 10], 8: [7, 8], 9: [7, 9]}  # 10, 10 and 3 at root 1; 1 each at root 7
     for most, leaves in ((1, {4, 8}), (2, {4, 6, 8, 9}), (None, set(paths))):
-        got = chat.format_paths(chat.best_paths(df, most)).withColumns({"turns": chat.parse(F.col("formatted")), "loss": chat.masked(F.col("formatted"), F.col("loss_spans"))}).collect()
+        got = chat.format_paths(chat.best_paths(df, df, most)).withColumns({"turns": chat.parse(F.col("formatted")), "loss": chat.masked(F.col("formatted"), F.col("loss_spans"))}).collect()
         assert {r["leaf"]: [t["text"] for t in r["turns"]] for r in got} == {leaf: [f"m{m}" for m in paths[leaf]] for leaf in leaves} and len(got) == len(leaves)
         assert all(r["loss"] == ("m5" if r["leaf"] == 6 else "") for r in got)
 
@@ -70,4 +70,4 @@ def test_no_python_in_the_plan(spark, sf):
 def test_paths_of_any_depth(spark, depth):
     rows = [(1, i, i - 1 if i else None, "user", str(i), 1.0) for i in range(depth)]
     df = spark.createDataFrame(rows, "conv_id long, msg long, parent long, role string, text string, score double")
-    assert [r["text"] for r in chat.best_paths(df).orderBy("depth").collect()] == [str(i) for i in range(depth)]
+    assert [r["text"] for r in chat.best_paths(df, df).orderBy("depth").collect()] == [str(i) for i in range(depth)]
