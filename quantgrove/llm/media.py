@@ -39,6 +39,8 @@ from quantgrove.llm.common import batch_of, documents_of, filesystem, materialis
 
 #: Samples of an image row, bytes of an archive, of a planned range and of an Arrow batch, reads of a member.
 SIDE, ARCHIVE, RANGE, BATCH, TRIES = 64, 32 << 20, 8 << 20, 4 << 20, 4
+#: Ranges that a scan is planned in, about, whatever the total.
+RANGES = 100_000
 _SIGN = b"\x89PNG\r\n\x1a\n"
 
 
@@ -163,14 +165,19 @@ class ArchiveReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        """Byte ranges over the listed archives; one list entry per archive reaches the driver."""
+        """Byte ranges over the listed archives; one list entry per archive reaches the driver.
+
+        Ranges grow with the whole, so that their number stays below ``RANGES``
+        and one for each archive.
+        """
         fs, at = filesystem(self.options["list"])
         import pyarrow.dataset as ds
 
-        step, out = int(self.options.get("range_bytes", RANGE)), []
-        for b in ds.dataset(at, filesystem=fs, format="parquet").to_batches(columns=["path", "data_bytes"]):
-            for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out += [ByteRange(path, i, min(i + step, size)) for i in range(0, size, step)]
+        table = ds.dataset(at, filesystem=fs, format="parquet").to_table(columns=["path", "data_bytes"])
+        paths, sizes, out = table["path"].to_pylist(), table["data_bytes"].to_pylist(), []
+        step = max(int(self.options.get("range_bytes", RANGE)), sum(sizes) // RANGES)
+        for path, size in zip(paths, sizes, strict=True):
+            out += [ByteRange(path, i, min(i + step, size)) for i in range(0, size, step)]
         return sorted(out, key=lambda r: (r.path, r.start)) or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,8 @@
 """The stages against their operators, on small tables."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quantgrove.llm import jaccard, quality, toxicity
 from quantgrove.llm.queries import queries
@@ -32,3 +35,24 @@ def test_stages_chain_and_take_effect(spark, tmp_path):
 
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in queries()] == list(range(1, 11))
+
+
+def _run(spark, tmp_path, docs):
+    """The whole pipeline over a folder of its own."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0), (3, 1, None), (None, 1, 1), (7, None, 1), (10, 0, 0), (17, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    return corpus_pipeline.run(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("table", ["odd", "clashing", "none"])
+def test_awkward_tables_go_through(spark, request, tmp_path, table):
+    docs = request.getfixturevalue(table)
+    got = _run(spark, tmp_path, docs)
+    kept, known = {r["doc_id"] for r in got.select("doc_id").collect()}, {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert kept <= known and (table != "none" or not kept)
+
+
+def test_reserved_column_names_go_through(spark, odd, tmp_path):
+    docs = odd.withColumns({c: F.lit(1) for c in ("__cid", "__low", "__nth", "keep_cid", "doc", "part")})
+    assert _run(spark, tmp_path, docs).count() >= 0
