@@ -1,8 +1,7 @@
 """Near copies by an exact set similarity join on word shingles, with adaptive multi-match prefixes.
 
 A document's set holds its distinct five-word shingles. Shingles have one
-global order, rarest first by a counting sketch that is sized by the corpus
-(one counter for about eight shingles, 2^22 at most: 16 MB in each worker). Two sets with
+global order, rarest first by a counting sketch of fixed size. Two sets with
 a Jaccard likeness of t or more share at least l shingles among the first
 n - ceil(t n) + l of each, for every l (and the smaller of the two needs still
 fewer of its own). So a document may lengthen its prefix
@@ -51,8 +50,8 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from quantgrove.llm.common import batch_of, documents_of, exact_key, in_small_batches, materialise
 
-#: Words of a shingle; the likeness asked for, in hundredths; largest l; least and most bits of the sketch; rows of a salt.
-WIDTH, PERCENT, MOST_MATCHES, BITS, MOST_BITS, SALTED = 5, 75, 4, 18, 22, 20_000
+#: Words of a shingle; the likeness asked for, in hundredths; largest l; bits of the sketch; rows of a salt.
+WIDTH, PERCENT, MOST_MATCHES, BITS, SALTED = 5, 75, 4, 18, 20_000
 #: Hub rounds at most; how many pair rows for each row of a prefix the last step may make before another round is tried; hubs that a class is compared with in a round; share of links among them below which no further round is made.
 ROUNDS, PAYS, HUBS, GAIN = 4, 8, 3, 0.5
 #: Rows of a prefix for each file of the tables that are made from them.
@@ -165,12 +164,6 @@ def _counter(s: np.ndarray, bits: int) -> np.ndarray:
     return (s >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def sketch_bits(docs: DataFrame) -> int:
-    """Bits of a sketch with a counter for eight shingles, at six bytes a word; one pass over the lengths."""
-    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    return max(BITS, min(MOST_BITS, (words // 8).bit_length()))
-
-
 def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCENT, most: int = MOST_MATCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(shingles of the prefix, their counts, whether in the lead, l) of a sorted set under the order by count, then hash.
 
@@ -531,9 +524,8 @@ def _links(postings: DataFrame, texts: DataFrame) -> DataFrame | None:
 def class_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, cid, n), (cid, component_id, keeper: the class that holds the component's smallest doc_id)."""
     docs = documents_of(documents)
-    bits = sketch_bits(docs)
-    rows = _classes(docs, bits)
-    counts = _sketch(rows, bits)
+    rows = _classes(docs, BITS)
+    counts = _sketch(rows, BITS)
     rows = rows.where("n is not null").select("doc_id", "cid", "n")
     postings = _postings(docs, counts)
     comp = None if postings.isEmpty() else _links(postings, _texts(docs, postings))
