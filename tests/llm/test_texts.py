@@ -106,6 +106,36 @@ def test_encoder_equals_the_library(ids):
         assert got.tolist() == ids(t).tolist(), t
 
 
+def test_encoder_on_letters_that_lower_beyond_the_plain_ones(ids):
+    texts = ["Əli Ɓa aƁb", "ȺȾ xȺ", "İstanbul!", "aİ!?İ.b", *(f"a{chr(c)}b {chr(c)}!{chr(c)} 1{chr(c)}" for c in range(0xC0, 0x250))]
+    for t, got in zip(texts, tokens.encoder(tokens.default_tokenizer()).encode(texts), strict=True):
+        assert got.tolist() == ids(t).tolist(), t
+
+
+def test_encoder_in_pieces(ids, monkeypatch):
+    import random
+
+    random.seed(6)
+    monkeypatch.setattr(tokens, "PIECE", 8)
+    texts = ["", "  ", "\n", "x" * 100, "7" * 50, "a.B!" * 30, "İ." * 9, "", "naïve #1 İ! ok", "don't", "", *("".join(random.choice("ab cD.,1\n\té") for _ in range(random.randint(0, 60))) for _ in range(200))]
+    got = tokens.WordEncoder(tokens.default_tokenizer()).encode(texts)
+    assert [g.tolist() for g in got] == [ids(t).tolist() for t in texts]
+    assert tokens.WordEncoder(tokens.default_tokenizer()).encode([]) == []
+
+
+def test_parts_in_use_are_learnt_once(ids, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    encoder, learnt = tokens.WordEncoder(tokens.default_tokenizer()), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda todo: (learnt.extend(todo), learn(todo))[1])
+    letters = "abcdefghij"
+    for i in range(40):
+        text = "the " + " ".join(f"w{letters[i // 10]}{letters[i % 10]}{x}" for x in letters)
+        assert encoder.encode([text])[0].tolist() == ids(text).tolist()
+    assert sum(p in ("the", b"the") for p in learnt) == 1
+    assert len(encoder.parts) + len(encoder.older) <= 2 * (50 + 12)  # a generation, and what one piece adds
+
+
 @pytest.mark.parametrize("table", ["odd", "clashing"])
 def test_token_files(spark, request, table, ids):
     files = token_store.write(request.getfixturevalue(table), token_store.folder_for(spark), file_ids=10_000)
