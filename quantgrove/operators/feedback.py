@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantgrove.sources.shared import written
+
 
 def numbered(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     """Adds a gapless number from 0 in the given order.
 
     A range sort spreads the rows; each part numbers its own and adds the
-    counts of the parts before, so no single task sees all of them. The sort
-    is repeated on use, so the keys must order the rows in full.
+    counts of the parts before, so no single task sees all of them. The parts
+    are written first: a sort that is run again draws other bounds and merges
+    other parts, and the counts of one run do not fit the parts of the next.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mono", F.monotonically_increasing_id())
+    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mono", F.monotonically_increasing_id()), "numbered")
     part, own = F.shiftright("__mono", 33), F.col("__mono").bitwiseAND((1 << 33) - 1)
     counts = parts.groupBy(part.alias("__part")).count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
