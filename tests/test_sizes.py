@@ -31,7 +31,7 @@ def many(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["centroid_drift", "hellinger_drift", "trailing_accuracy", "tree_scores", "wasserstein_drift", "wasserstein_features", "window_label_share", "worst_tree", "hellinger_features"])
+@pytest.mark.parametrize("name", ["centroid_drift", "hellinger_drift", "trailing_accuracy", "tree_scores", "wasserstein_drift", "wasserstein_features", "window_label_share", "worst_tree", "hellinger_features", "positional_feedback_join"])
 def test_numbered_rows_of_many_parts(spark, many, name):
     least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
     spark.conf.set(least, "1k")  # small parts are not merged into one, as those of a large table are not
